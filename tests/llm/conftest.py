@@ -1,0 +1,7 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def rows():
+    """Documents with nulls, blanks, repeats and a clashing extra column."""
+    return "doc_id long, text string, lang string, source string, n_chars long, fp string, line string"
