@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, simhash, toxicity
+from . import decontaminate, line_dedup, matroska, packing, pii, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop("doc_key")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -49,6 +53,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.stored(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -108,7 +120,10 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_simhash": op3_simhash,
         "op5_decontaminate": op5_decontaminate,
+        "op6_token_counts": op6_token_counts,
         "op8_line_dedup": op8_line_dedup,
+        "op9_pii": op9_pii,
+        "op10_matroska": op10_matroska,
     }
 
 
