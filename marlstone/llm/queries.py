@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, matroska, packing, pii, simhash, token_counts, toxicity
+from . import decontaminate, line_dedup, matroska, packing, pii, ppm, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -121,6 +125,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op5_decontaminate": op5_decontaminate,
         "op6_token_counts": op6_token_counts,
+        "op7_ppm": op7_ppm,
         "op8_line_dedup": op8_line_dedup,
         "op9_pii": op9_pii,
         "op10_matroska": op10_matroska,
