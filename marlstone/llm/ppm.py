@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise
+from .common import LOWER, UPPER, materialise, row_key
 
-ORDER = 4
+ORDER = 5
 #: Stands before and ends each text; no UTF-8 text has this byte.
 END = 255
 SYMBOLS = 256
-MAX_ENTRIES = 6_000_000
+MAX_ENTRIES = 3_000_000
 HEAD = 1 << 17
 #: Bytes scored or counted at once.
 BLOCK = 1 << 21
@@ -341,7 +342,7 @@ def trie_scores(raws: list[bytes], trie: Trie) -> np.ndarray:
 
 
 def _added(docs: DataFrame, trie: Trie) -> DataFrame:
-    """``docs(…, text, score)`` with the part's scores added."""
+    """``docs(…, text, …, score)`` with the trie's scores added to ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(trie)
     t, s = docs.columns.index("text"), docs.columns.index("score")
 
@@ -355,6 +356,25 @@ def _added(docs: DataFrame, trie: Trie) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _scored(rows: DataFrame, docs: DataFrame, counted: DataFrame, order: int, most: int) -> DataFrame:
+    """``rows`` with scores. One part of the model is applied as the rows pass
+    by; of several, each makes a pass of its own over the texts, so that no
+    executor holds more than one."""
+    parts = tries(counted, order, most)
+    first = next(parts)
+    if first.last_bytes is None:
+        return _added(rows, first).drop("text")
+    sums = None
+    for trie in chain([first], parts):
+        texts = docs.select(row_key("doc_id", "text").alias("key"), "text", F.lit(0.0).alias("score"))
+        # rows repeated as a whole have equal scores
+        part = materialise(_added(texts, trie).groupBy("key").agg(F.max("score").alias("score")))
+        sums = part if sums is None else sums.union(part)
+    sums = sums.groupBy("key").agg(F.sum("score").alias("score"))
+    keyed = rows.withColumn("key", row_key("doc_id", "text")).drop("text", "score")
+    return materialise(keyed).join(sums, "key").drop("key")
+
+
 def score(docs: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES, head: int = HEAD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
@@ -395,9 +415,7 @@ def score(docs: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES, head: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(base, f"doc_id {kind}, text string, n_tokens bigint, known bigint, sum double, rare array<binary>, uid bigint, score double")
-    for trie in tries(counted, order, most):
-        rows = _added(rows, trie)
-    rows = materialise(rows.drop("text"))
+    rows = materialise(_scored(rows, docs, counted, order, most))
     tail = rows.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("tf"))
     looked_up = (
         tail.join(words, "word", "left")
