@@ -30,7 +30,7 @@ from .components import components
 
 BITS = 64
 SEED = 42
-BUCKET = 24
+BUCKET = 256
 #: Shingles hashed at once, a bound on memory for very long texts.
 BLOCK = 1 << 17
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
