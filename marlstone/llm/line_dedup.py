@@ -103,7 +103,8 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with those lines removed from ``text``, and two columns added:
     ``n_lines__`` and ``n_removed__``. All rows stay."""
-    gone = materialise(removals(docs, min_sites, long_words)).withColumnRenamed("doc_key", "doc_key__")
+    # texts are shuffled at every size; a broadcast of the places has no bound
+    gone = materialise(removals(docs, min_sites, long_words)).withColumnRenamed("doc_key", "doc_key__").hint("merge")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
     return (
