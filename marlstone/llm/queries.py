@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, matroska, packing, pii, ppm, simhash, token_counts, toxicity
+from . import decontaminate, line_dedup, matroska, packing, pii, ppm, secrets, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -35,6 +35,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    place = F.transform("findings", lambda x: F.concat_ws(":", x["start"], x["end"]))
+    return found.select(
+        "doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), F.array_join(place, ",").alias("spans")
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items).drop("doc_key")
@@ -123,6 +131,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_toxicity": op2_toxicity,
         "op3_simhash": op3_simhash,
+        "op4_secrets": op4_secrets,
         "op5_decontaminate": op5_decontaminate,
         "op6_token_counts": op6_token_counts,
         "op7_ppm": op7_ppm,
