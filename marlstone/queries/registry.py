@@ -25,3 +25,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in _FOUND.items() if sql}
+
+
+from . import metric_queries  # noqa: E402, F401
