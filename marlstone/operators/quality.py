@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,10 +122,6 @@ def runs_test(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
 
 def two_sided(z: Column) -> Column:
     """Two-sided normal p-value; a pandas function, as no built-in has erfc."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2)))

@@ -28,3 +28,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 from . import metric_queries  # noqa: E402, F401
+from . import cell_queries  # noqa: E402, F401
