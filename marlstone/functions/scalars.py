@@ -169,8 +169,8 @@ def size_bytes(c: Column) -> Column:
 def readable_bytes(c: Column) -> Column:
     out = F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(c < 1024 ** (k + 1), F.concat(F.format_number(c / 1024**k, "0.00"), F.lit(" " + unit)))
-    return out.otherwise(F.concat(F.format_number(c / 1024**4, "0.00"), F.lit(" TiB")))
+        out = out.when(c < 1024 ** (k + 1), F.format_string(f"%.2f {unit}", c / 1024.0**k))
+    return out.otherwise(F.format_string("%.2f TiB", c / 1024.0**4))
 
 
 def learning_rate(i: Column, peak: float, warm: int, total: int, floor: float) -> Column:

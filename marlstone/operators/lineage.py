@@ -128,8 +128,8 @@ def keyword_hits(docs: DataFrame, words: DataFrame, least: int, top: int) -> Dat
 
 
 def timeline(runs: DataFrame) -> DataFrame:
-    """Place of each run: by start, those without one last, then name."""
-    order = Window.orderBy(F.coalesce("started_at", F.lit("9999-12-31T23:59:59")), "name")
+    """Place of each run: by start, those without one last, then name, then id."""
+    order = Window.orderBy(F.coalesce("started_at", F.lit("9999-12-31T23:59:59")), "name", "id")
     return runs.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
