@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,13 @@ def local_session(app: str = "marlstone", cores: int = 8, shuffle_partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, also
+    when that is on the driver's path only. On a cluster whose nodes don't share
+    that folder, ship the package with ``--py-files`` as usual."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])

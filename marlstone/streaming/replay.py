@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators.controller import Settings
+from ..session import reach_workers
 
 STATE = "n bigint, ema double, passed bigint, clipped bigint, skipped bigint, row_skips bigint, aborted_at bigint"
 
@@ -43,4 +44,5 @@ def replay_stream(stream: DataFrame, settings: Settings = Settings()) -> DataFra
         state.update(s)
         yield pd.DataFrame([(key[0], *s)], columns=["run", "n", "ema", "passed", "clipped", "skipped", "row_skips", "aborted_at"])
 
+    reach_workers(stream.sparkSession)
     return stream.groupBy("run").applyInPandasWithState(fold, "run bigint, " + STATE, STATE, "update", "NoTimeout")
