@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import reach_workers
+
 FRAME = 576
 PAD = 255
 TAIL = 32
@@ -319,6 +321,7 @@ def stored(docs: DataFrame) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
+    reach_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -342,6 +345,7 @@ def packets(media: DataFrame, id_col: str = "id", media_col: str = "media") -> D
                     cols = [pa.array([r[k] for r in part], t) for k, t in enumerate((*kinds, pa.string()))]
                     yield pa.RecordBatch.from_arrays([ids, *cols], ["id", *names, "error"])
 
+    reach_workers(media.sparkSession)
     kind = media.schema[id_col].dataType.simpleString()
     return media.select(id_col, media_col).mapInArrow(
         run, f"id {kind}, track bigint, time_ns bigint, cluster int, block int, frame int, offset bigint, size bigint, key boolean, error string"

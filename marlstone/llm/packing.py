@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
 from .common import materialise
 from .tokens import ByteBpe
 
@@ -76,6 +77,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             cols += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(uids, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
+    reach_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, uid bigint"
@@ -227,6 +229,7 @@ _SOLVED = "shard bigint, island int, uid bigint, length bigint, bin bigint, offs
 
 def solve(items: DataFrame, count: int, length: int = LENGTH, islands: int = ISLANDS) -> DataFrame:
     """``items(uid, length)`` -> ``shard, uid, length, bin, offset, fill``."""
+    reach_workers(items.sparkSession)
     shards = -(-count // SHARD)
     dealt = items.select((F.pmod(F.xxhash64("uid"), F.lit(shards))).alias("shard"), "uid", "length")
     own = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))

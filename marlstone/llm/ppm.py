@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
 from .common import LOWER, UPPER, materialise, row_key
 
 ORDER = 5
@@ -267,6 +268,7 @@ def _blocks(texts: list[str | None]):
 
 def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``gram, word, n``: of each row one of the first two is null."""
+    reach_workers(docs.sparkSession)
     names = ["gram", "word", "n"]
 
     def flush_words(words: Counter):

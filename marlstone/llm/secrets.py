@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import reach_workers
+
 THRESHOLD = 0.5
 MAX_FINDINGS = 20_000
 TREES, DEPTH, LEAF = 40, 9, 2
@@ -239,6 +241,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
                     ])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.list_(inner))], ["doc_id", "n_candidates", "findings"])
 
+    reach_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_candidates bigint, findings array<struct<start: bigint, end: bigint, score: double, sha256: string>>"

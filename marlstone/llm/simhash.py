@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
 from .common import LOWER, UPPER, materialise
 from .components import components
 
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             values = np.array([fingerprint(x, size) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
+    reach_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 

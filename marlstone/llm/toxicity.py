@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from ..session import reach_workers
 from .common import materialise
 
 THRESHOLD = 0.3
@@ -213,6 +214,7 @@ def _frequencies(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, balance: float = 1.0) -> Model:
+    reach_workers(docs.sparkSession)
     sample = materialise(labelled(docs, labels, max_rows))
     totals = (
         sample.mapInArrow(_frequencies, "feature string, pos bigint, neg bigint")
@@ -254,6 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, balance:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``score__`` (0 to 1)."""
+    reach_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES and the identity terms
     at = docs.columns.index("text")
 
