@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .ordering import global_row_number
 
 
 def min_genes(coo: DataFrame, least: int, cell: str = "cell_id") -> DataFrame:
@@ -111,9 +112,12 @@ def nearest(df: DataFrame, prototypes: DataFrame, r: int, tau: float = 1.0) -> D
 def vocabulary(tokens: DataFrame, least: int = 1, specials: tuple[str, ...] = ("<pad>", "<cls>")) -> DataFrame:
     """``id, token, n`` by falling frequency, then token; specials come first."""
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & ~F.col("token").isin(*specials))
-    ids = counted.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1 + len(specials))
+    # buckets in order: by frequency, and where those hold a single one by first character
+    level = -F.floor(F.log2("n") * 16) * 256
+    bucket = level + F.when(F.col("n") <= 16, F.least(F.ascii("token"), F.lit(255))).otherwise(0)
+    ids = global_row_number(counted, [F.desc("n"), F.col("token")], bucket, "id")
     first = tokens.sparkSession.createDataFrame([(i, s, 0) for i, s in enumerate(specials)], "id bigint, token string, n bigint")
-    return first.unionByName(ids.select(F.col("id").cast("bigint"), "token", "n"))
+    return first.unionByName(ids.select((F.col("id") + len(specials)).cast("bigint").alias("id"), "token", "n"))
 
 
 def orderings(var: DataFrame, file: str = "file", gene: str = "gene", pos: str = "pos") -> DataFrame:

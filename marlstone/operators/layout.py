@@ -155,3 +155,21 @@ def locate(wanted: DataFrame, sizes: DataFrame, index: str = "global_idx") -> Da
 
 def mixed_seed(seed: int, epoch: int, rank: int, chunk: int) -> int:
     return seed + epoch * 1_000_003 + rank * 10_007 + chunk * 101
+
+
+def ordinals(df: DataFrame, group: str, order: list[str], name: str = "idx") -> DataFrame:
+    """Row numbers from 0 within each group, by a stated order."""
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("bigint"))
+
+
+def paired(left: DataFrame, right: DataFrame, index: str = "idx") -> DataFrame:
+    """Rows of both sides with equal numbers; a number on one side only raises."""
+    lost = left.select(index).join(right.select(index), index, "left_anti").count() + right.select(index).join(left.select(index), index, "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} rows without a partner")
+    return left.join(right, index)
+
+
+def traced(df: DataFrame, every: int, step: str = "step") -> DataFrame:
+    """Rows of every so-many-th step; none for 0."""
+    return df.where(F.pmod(F.col(step), F.lit(every)) == 0) if every > 0 else df.limit(0)

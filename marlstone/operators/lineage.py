@@ -187,3 +187,30 @@ def latest_notes(notes: DataFrame, n: int = 3) -> DataFrame:
 def note_order(author: Column) -> Column:
     """People first, the automatic context last."""
     return F.when(author == "auto-context", 2).when(author == "local", 0).otherwise(1)
+
+
+def typed_values(df: DataFrame, value: str = "value") -> DataFrame:
+    """The kind of each JSON value, booleans before numbers: ``value_type``."""
+    v = F.trim(value)
+    kind = (
+        F.when(v.isNull() | (v == "null"), "null").when(v.isin("true", "false"), "bool").when(v.rlike(r"^-?\d+$"), "int")
+        .when(v.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), "float").when(v.startswith("["), "list").when(v.startswith("{"), "dict").otherwise("str")
+    )
+    return df.withColumn("value_type", kind)
+
+
+def parent_rows(runs: DataFrame, edges: DataFrame, updated: str = "updated_at") -> DataFrame:
+    """Each run with the parent of its latest incoming edge, if any."""
+    w = Window.partitionBy("child").orderBy(F.desc(updated), "parent")
+    latest = edges.withColumn("k__", F.row_number().over(w)).where("k__ = 1").select(F.col("child").alias("id"), "parent")
+    names = runs.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
+    return runs.join(latest, "id", "left").join(names, "parent", "left").select("id", "name", "parent", "parent_name")
+
+
+def evidence(changes_: DataFrame, kept: int = 6, shown: int = 4) -> DataFrame:
+    """Per edge the first changes as evidence, a few visible and how many more."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("key", "label"))), lambda s: s["label"])
+    out = changes_.groupBy("parent", "child").agg(rows.alias("all__"))
+    more = F.greatest(F.size("all__") - shown, F.lit(0))
+    text = F.concat_ws("; ", F.slice("all__", 1, shown), F.when(more > 0, F.array(F.concat(F.lit("+"), more.cast("string"), F.lit(" more")))))
+    return out.select("parent", "child", F.slice("all__", 1, kept).alias("evidence"), text.alias("summary"))

@@ -331,3 +331,49 @@ def shared_references(spark, sf_dir):
 )
 def change_confidence(spark, sf_dir):
     return _edges(spark, sf_dir).select("child", scalars.confidence(F.col("score") / 2, F.col("child") % 2 == 0).alias("confidence"))
+
+
+@register(
+    "config_values",
+    """WITH v AS (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN CAST(c_custkey AS VARCHAR) || '.5' WHEN 4 THEN '[1]' WHEN 5 THEN '{"a": 1}' ELSE 'text' END AS value FROM customer)
+SELECT id, value, CASE id % 7 WHEN 0 THEN 'null' WHEN 1 THEN 'bool' WHEN 2 THEN 'int' WHEN 3 THEN 'float' WHEN 4 THEN 'list' WHEN 5 THEN 'dict' ELSE 'str' END AS value_type FROM v""",
+)
+def config_values(spark, sf_dir):
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    value = F.when(k % 7 == 1, "true").when(k % 7 == 2, text).when(k % 7 == 3, F.concat(text, F.lit(".5"))).when(k % 7 == 4, "[1]").when(k % 7 == 5, '{"a": 1}').when(k % 7 == 6, "text")
+    return lineage.typed_values(table(spark, sf_dir, "customer").select(k.alias("id"), value.alias("value")))
+
+
+@register(
+    "parent_rows",
+    """WITH e AS (SELECT o_custkey AS child, o_orderkey % 100 AS parent, o_orderdate AS day FROM orders), l AS (SELECT child, parent FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY day DESC, parent) AS k FROM e) WHERE k = 1)
+SELECT c.c_custkey AS id, c.c_name AS name, l.parent AS parent, p.c_name AS parent_name FROM customer c LEFT JOIN l ON l.child = c.c_custkey LEFT JOIN customer p ON p.c_custkey = l.parent""",
+)
+def parent_rows(spark, sf_dir):
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("child"), (F.col("o_orderkey") % 100).alias("parent"), F.col("o_orderdate").alias("updated_at"))
+    return lineage.parent_rows(runs, edges)
+
+
+@register(
+    "change_evidence",
+    """WITH c AS (SELECT l_orderkey AS parent, l_orderkey + 1 AS child, l_linenumber AS key, 'item ' || CAST(l_partkey AS VARCHAR) AS label FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY key, label) AS i, count(*) OVER (PARTITION BY parent) AS n FROM c)
+SELECT parent, child, string_agg(label, ',' ORDER BY i) FILTER (WHERE i <= 6) AS evidence,
+  string_agg(label, '; ' ORDER BY i) FILTER (WHERE i <= 4) || CASE WHEN max(n) > 4 THEN '; +' || CAST(max(n) - 4 AS VARCHAR) || ' more' ELSE '' END AS summary FROM r GROUP BY parent, child""",
+)
+def change_evidence(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), (F.col("l_orderkey") + 1).alias("child"), F.col("l_linenumber").alias("key"),
+                                                F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("label"))
+    return lineage.evidence(c).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@register(
+    "presence_masks",
+    """SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END + 4 AS BIGINT) AS present FROM events""",
+)
+def presence_masks(spark, sf_dir):
+    from ..plans.catalog import presence_mask
+
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, 1).alias("a"), F.when(F.col("event_id") % 3 == 0, 1).alias("b"), F.lit("x").alias("c"))
+    return presence_mask(e, ["a", "b", "c"]).select("event_id", "present")

@@ -200,3 +200,29 @@ def set_operations(spark, sf_dir):
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("row_ordinals", f"WITH {CELLS} SELECT id, species, row_number() OVER (PARTITION BY species ORDER BY file, id) - 1 AS idx FROM c")
+def row_ordinals(spark, sf_dir):
+    return layout.ordinals(cells(spark, sf_dir).select("id", "species", "file"), "species", ["file", "id"]).select("id", "species", "idx")
+
+
+@register("row_pairing", "SELECT vec_id AS idx, label, len(embedding) AS width FROM embeddings")
+def row_pairing(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    obs, x = e.select(F.col("vec_id").alias("idx"), "label"), e.select(F.col("vec_id").alias("idx"), F.size("embedding").cast("bigint").alias("width"))
+    return layout.paired(obs, x)
+
+
+@register("trace_rows", "SELECT event_id FROM events WHERE event_id % 250 = 0")
+def trace_rows(spark, sf_dir):
+    return layout.traced(table(spark, sf_dir, "events").select("event_id"), 250, "event_id")
+
+
+@register("row_counts", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def row_counts(spark, sf_dir):
+    out = None
+    for name in ("events", "orders", "part"):
+        one = table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
