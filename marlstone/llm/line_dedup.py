@@ -104,15 +104,15 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = L
     """``docs`` with those lines removed from ``text``, and two columns added:
     ``n_lines__`` and ``n_removed__``. All rows stay."""
     # texts are shuffled at every size; a broadcast of the places has no bound
-    gone = materialise(removals(docs, min_sites, long_words)).withColumnRenamed("doc_key", "doc_key__").hint("merge")
+    gone = materialise(removals(docs, min_sites, long_words)).toDF("doc_key__", "gone__").hint("merge")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
+    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone__", i))
     return (
         docs.withColumn("doc_key__", row_key("doc_id", "text"))
         .join(gone, "doc_key__", "left")
         .withColumn("n_lines__", F.coalesce(F.size(F.when(F.col("text").isNotNull(), parts)).cast("long"), F.lit(0)))
         .withColumn("n_lines__", F.greatest("n_lines__", F.lit(0)))
-        .withColumn("n_removed__", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
-        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("doc_key__", "gone")
+        .withColumn("n_removed__", F.when(F.col("gone__").isNull(), 0).otherwise(F.size("gone__")).cast("long"))
+        .withColumn("text", F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop("doc_key__", "gone__")
     )

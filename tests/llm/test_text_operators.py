@@ -77,7 +77,7 @@ def test_lines(spark):
     shared, passage = "All rights kept.", " ".join(f"w{i}" for i in range(60))
     rows = [(i, f"own {i}\n{shared}\n\nx", f"s{i}", 1) for i in range(9)]
     rows += [(20, f"a\n{passage}\nrare", "s1", 1), (21, f"{passage}\nb\nrare", "s1", 1), (22, None, "s1", 1), (23, "", "s2", 1), (24, f"{passage}\n{passage}", None, 1), (24, f"{passage}\n{passage}", None, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, line int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone int")
     got = line_dedup.dedup_lines(docs).collect()
     assert len(got) == len(rows) and set(docs.columns) < set(got[0].asDict())
     by = {r.doc_id: r for r in got}
