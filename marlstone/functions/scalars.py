@@ -9,18 +9,27 @@ from pyspark.sql import functions as F
 ASSAYS = {
     "3_prime_gex": "10x 3' transcription profiling",
     "5_prime_gex": "10x 5' transcription profiling",
-    "multiome": "10x multiome",
+    "flex": "10x gene expression flex",
+    "vdj": "10x immune profiling",
 }
-# Common to latin species names.
+# Common to latin species names. Names are looked up with
+# underscores for spaces, so those of two words stay as they are.
 SPECIES = {
     "human": "homo_sapiens",
     "mouse": "mus_musculus",
+    "green monkey": "chlorocebus_sabaeus",
     "rat": "rattus_norvegicus",
-    "zebrafish": "danio_rerio",
-    "fruit_fly": "drosophila_melanogaster",
+    "chimpanzee": "pan_troglodytes",
+    "bonobo": "pan_paniscus",
+    "macaque": "macaca_mulatta",
+    "crab-eating macaque": "macaca_fascicularis",
+    "gorilla": "gorilla_gorilla",
     "chicken": "gallus_gallus",
-    "pig": "sus_scrofa",
+    "marmoset": "callithrix_jacchus",
 }
+# Tags that count as a whole, and beginnings of others.
+EXACT_TAGS = ("stable", "fp32", "esm2", "dnaseq", "shuffleall", "resume", "from_scratch")
+TAG_STARTS = ("lr", "epoch", "huber", "clip", "lossw")
 MODEL_SIZES = ("100m", "500m", "1b")
 
 
@@ -34,7 +43,7 @@ def lower_underscore(c: Column) -> Column:
 
 
 def assay_name(c: Column, names: dict[str, str] | None = None) -> Column:
-    return F.coalesce(F.try_element_at(_map(names or ASSAYS), F.lower(F.trim(c))), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(_map(names or ASSAYS), c), F.lit("unknown"))
 
 
 def gene_key(c: Column) -> Column:
@@ -86,27 +95,52 @@ def name_time(c: Column) -> Column:
     return F.date_format(F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd_HHmmss")), "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def _body(c: Column) -> Column:
+    """A run name without prefix and time."""
+    rest = F.regexp_replace(F.regexp_replace(c, r"^training_output_", ""), r"\d{8}_\d{6}$", "")
+    return F.regexp_replace(rest, "^_+|_+$", "")
+
+
 def model_size(c: Column) -> Column:
-    """First of the known sizes that stands between delimiters."""
-    return F.coalesce(*[F.when(c.rlike(f"(^|[_-]){s}([_-]|$)"), F.lit(s)) for s in MODEL_SIZES])
+    """First of the known sizes that stands as a part of the name."""
+    found = [F.when(_body(c).rlike(f"(^|_){s}(_|$)"), F.lit(s)) for s in MODEL_SIZES]
+    return F.coalesce(*found, F.lit("unknown"))
 
 
 def data_recipe(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(data(?:_\d+)+)", 1), F.lit(""))
+    return F.regexp_extract(_body(c), r"data(?:_\d+)+", 0)
 
 
 def experiment_name(c: Column) -> Column:
-    """What is left of a name without prefix, size, recipe and time."""
-    rest = F.regexp_replace(c, r"^training_output_", "")
-    rest = F.regexp_replace(rest, r"_?\d{8}_\d{6}$", "")
-    rest = F.regexp_replace(rest, r"(^|_)(100m|500m|1b)(?=_|$)", "$1")
-    rest = F.regexp_replace(rest, r"data(_\d+)+", "")
-    return F.regexp_replace(F.regexp_replace(rest, "_+", "_"), "^_|_$", "")
+    """What is left of a name without size and recipe."""
+    size, recipe = model_size(c), data_recipe(c)
+    rest = F.regexp_replace(F.concat(F.lit("_"), _body(c), F.lit("_")), F.concat(F.lit("^(.*?)_"), size, F.lit("_(.*)$")), F.lit("$1_$2"))
+    at = F.instr(rest, recipe)
+    cut = F.when(F.length(recipe) > 0, F.concat(F.substring(rest, F.lit(1), at - 1), F.substring(rest, at + F.length(recipe), F.length(rest)))).otherwise(rest)
+    return F.regexp_replace(F.regexp_replace(cut, "_+", "_"), "^_|_$", "")
 
 
 def name_tokens(c: Column) -> Column:
-    """Parts of a name in order, each once."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), "[_-]+"), lambda x: x != ""))
+    """Parts of a run name in order, each once."""
+    return F.array_distinct(F.filter(F.split(_body(c), "_"), lambda x: x != ""))
+
+
+def name_tags(c: Column) -> Column:
+    """Tags of a run name in order, each once."""
+    parts = F.filter(F.split(_body(c), "_"), lambda x: x != "")
+
+    def of(token: Column, i: Column) -> Column:
+        after = F.get(parts, i + 1)
+        return F.array_compact(
+            F.array(
+                F.when(token.isin(*EXACT_TAGS), token),
+                F.when((token == "from") & (after == "scratch"), F.lit("from_scratch")),
+                F.when((token == "lossw") & after.isNotNull(), F.concat(F.lit("lossw_"), after)),
+                F.when(token.rlike("^(" + "|".join(TAG_STARTS) + ")"), token),
+            )
+        )
+
+    return F.array_distinct(F.flatten(F.transform(parts, of)))
 
 
 def readable_number(token: Column) -> Column:

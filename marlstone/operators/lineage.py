@@ -9,9 +9,29 @@ from ..functions import scalars
 
 # Kinds of artifacts by file name, first match counts.
 ARTIFACTS = (
-    ("metrics", r"^metrics\..*\.jsonl$"), ("loss_csv", r"^loss_to_log\..*\.txt$"), ("log", r"^log\..*\.txt$"), ("summary", r"^summary\.md$"),
-    ("run_record", r"^run_record\.json$"), ("plot", r"\.(png|svg)$"), ("checkpoint", r"\.(pt|pth|ckpt)$"), ("table", r"\.csv$"),
-)
+    ("summary_md", r"^summary\.md$"),
+    ("run_record_json", r"^run_record\.json$"),
+    ("metrics_jsonl", r"^metrics\..*\.jsonl$"),
+    ("loss_log", r"^loss_to_log.*\.txt$"),
+    ("log", r"^log\..*\.txt$"),
+    ("grad_clip_png", r"^(?=.*grad)(?=.*clip).*\.png$"),
+    ("training_curve_png", r"\.png$"),
+    ("checkpoint", r"\.pt$"),
+)
+# Names of report stages and of lanes, in the order of their rules.
+STAGES = (
+    "500M stability incident and fixes",
+    "Multi-epoch and resume experiments",
+    "100M learning-rate sweep",
+    "fp32 + Huber, modality, loss-weight, and shuffle experiments",
+    "Data 1 / 1+3 / 1+2+3 comparisons",
+    "Initial smoke and model-scale tests",
+)
+LANES = ("500M stability", "E2 ablations", "LR / schedule", "Scale smoke", "100M data baselines")
+# What an equal variable adds to a parent's score; each shared tag,
+# and each place later in time.
+PARENT_WEIGHTS = {"lane": 5, "model_size": 4, "data_recipe": 4, "training_recipe": 2, "lr": 2, "loss": 2, "modalities": 2, "shuffle": 2}
+TAG_WEIGHT, LATER_WEIGHT = 1.2, 0.01
 
 
 def artifact_kind(name: Column) -> Column:
@@ -28,6 +48,24 @@ def parse_names(df: DataFrame, name: str = "name") -> DataFrame:
         .withColumn("model_size", scalars.model_size(c))
         .withColumn("data_recipe", scalars.data_recipe(c))
         .withColumn("experiment", scalars.experiment_name(c))
+        .withColumn("tags", scalars.name_tags(c))
+    )
+
+
+def variables(parsed: DataFrame, name: str = "name") -> DataFrame:
+    """What the parent score compares, from parsed names. Empty: not said."""
+    t = F.lower(name)
+    first = lambda start: F.coalesce(F.get(F.filter("tags", lambda x: x.rlike(f"^{start}[0-9]")), F.lit(0)), F.lit(""))
+    modalities = F.concat_ws(" + ", F.when(t.contains("esm2"), F.lit("ESM2")), F.when(t.contains("dnaseq"), F.lit("DNAseq")))
+    loss = F.when(t.contains("huber5"), "Huber5").when(t.contains("huber"), "Huber").when(t.contains("lossw_gepc01"), "GEPC loss weight 0.1").otherwise("")
+    recipe = F.when(t.contains("stab_smoke"), "stability smoke diagnostic").when(t.contains("stable"), "stable pretrain recipe").otherwise("baseline from-scratch")
+    return (
+        parsed.withColumn("lane", lane(t, F.col("model_size"), F.col("data_recipe")))
+        .withColumn("training_recipe", recipe)
+        .withColumn("lr", first("lr"))
+        .withColumn("loss", loss)
+        .withColumn("modalities", modalities)
+        .withColumn("shuffle", F.when(t.contains("shuffleall"), "shuffleall").otherwise(""))
     )
 
 
@@ -79,20 +117,28 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def parents(runs: DataFrame, weights: dict[str, int], group: str | None = None) -> DataFrame:
-    """For each run the earlier one that shares most, by weighted equal columns;
-    of equal scores the earliest. ``runs(id, ord, …)``; candidates are all
-    earlier runs (of the same ``group`` where given, which bounds the join)."""
+def parents(runs: DataFrame, weights: dict[str, float], group: str | None = None, tags: str | None = None, later: float = 0.0) -> DataFrame:
+    """For each run the earlier one of the best score: the weights of equal
+    columns (empty and unknown never count), ``TAG_WEIGHT`` for each shared tag,
+    ``later`` for each place in time; of equal scores the earliest.
+    ``runs(id, ord, …)``; candidates are all earlier runs, as many pairs as that
+    makes; a ``group`` that both must share bounds them."""
     p = runs.select(*[F.col(c).alias("p_" + c) for c in runs.columns])
     cond = F.col("p_ord") < F.col("ord")
     if group:
         cond = cond & (F.col("p_" + group) == F.col(group))
-    score = None
+    score = F.lit(later) * F.col("p_ord")
+    kinds = dict(runs.dtypes)
     for c, w in weights.items():
-        one = F.when(F.col("p_" + c) == F.col(c), F.lit(w)).otherwise(F.lit(0))
-        score = one if score is None else score + one
+        same = F.col("p_" + c) == F.col(c)
+        if kinds[c] == "string":
+            same = same & ~F.col(c).isin("", "unknown")
+        score = score + F.when(same, F.lit(float(w))).otherwise(F.lit(0.0))
+    if tags:
+        shared = F.array_except(F.array_intersect(F.col("p_" + tags), F.col(tags)), F.array(F.lit("from_scratch")))
+        score = score + TAG_WEIGHT * F.size(shared)
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "p_ord"))
-    pairs = runs.join(p, cond).withColumn("score", score.cast("bigint")).withColumn("k__", best).where("k__ = 1")
+    pairs = runs.join(p, cond).withColumn("score", F.round(score, 6)).withColumn("k__", best).where("k__ = 1")
     return pairs.select(F.col("p_id").alias("parent"), F.col("id").alias("child"), "score")
 
 
@@ -104,7 +150,7 @@ def changes(edges: DataFrame, configs: DataFrame) -> DataFrame:
     out = edges.join(b, "child").join(a, ["parent", "key"], "left")
     after = scalars.blank_off(F.col("after"))
     out = out.where((after != "") & (F.col("after") != "unknown") & ~F.col("after").eqNullSafe(F.col("before")))
-    label = F.concat_ws(" | ", "key", F.concat(F.coalesce("before", F.lit("default")), F.lit(" -> "), F.col("after")))
+    label = F.concat("key", F.lit(": "), F.coalesce("before", F.lit("default")), F.lit(" -> "), F.col("after"))
     return out.select("parent", "child", "key", "before", "after", label.alias("label"))
 
 
@@ -133,12 +179,27 @@ def timeline(runs: DataFrame) -> DataFrame:
     return runs.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
-def stage(name: Column) -> Column:
-    """Ordered rules; the first that fits."""
+def stage(name: Column, size: Column, recipe: Column) -> Column:
+    """Report stage by ordered rules; the first that fits."""
     return (
-        F.when(name.rlike("ablation|sweep"), "ablation").when(name.rlike("from_scratch"), "scratch").when(name.rlike("resume|continue"), "resume")
-        .when(name.rlike("test|smoke"), "smoke").otherwise("main")
-    )
+        F.when((size == "500m") & name.rlike("stab|stable"), STAGES[0])
+        .when(name.rlike("5epoch|epoch5"), STAGES[1])
+        .when(name.contains("lr"), STAGES[2])
+        .when(name.rlike("huber|fp32|lossw|shuffleall"), STAGES[3])
+        .when(recipe.isin("data_1", "data_1_3", "data_1_2_3"), STAGES[4])
+        .otherwise(STAGES[5])
+    )
+
+
+def lane(text: Column, size: Column, recipe: Column) -> Column:
+    """Lane of a run in the graph by ordered rules."""
+    return (
+        F.when((size == "500m") | text.rlike("stab_smoke|clip0p5"), LANES[0])
+        .when(text.rlike("huber|fp32|esm2|dnaseq|lossw|shuffle"), LANES[1])
+        .when(text.rlike("lr|epoch"), LANES[2])
+        .when((size == "1b") | (text.contains("test_from_scratch") & (recipe == "")), LANES[3])
+        .otherwise(LANES[4])
+    )
 
 
 def pivoted(series: DataFrame, names: list[str]) -> DataFrame:
@@ -212,5 +273,5 @@ def evidence(changes_: DataFrame, kept: int = 6, shown: int = 4) -> DataFrame:
     rows = F.transform(F.array_sort(F.collect_list(F.struct("key", "label"))), lambda s: s["label"])
     out = changes_.groupBy("parent", "child").agg(rows.alias("all__"))
     more = F.greatest(F.size("all__") - shown, F.lit(0))
-    text = F.concat_ws("; ", F.slice("all__", 1, shown), F.when(more > 0, F.array(F.concat(F.lit("+"), more.cast("string"), F.lit(" more")))))
+    text = F.concat_ws(" | ", F.slice("all__", 1, shown), F.when(more > 0, F.array(F.concat(F.lit("+"), more.cast("string"), F.lit(" more")))))
     return out.select("parent", "child", F.slice("all__", 1, kept).alias("evidence"), text.alias("summary"))

@@ -130,13 +130,20 @@ def two_sided(z: Column) -> Column:
 
 
 def spread(df: DataFrame, label: str, file: str) -> DataFrame:
-    """In what share of all files each label appears, with a verdict."""
-    files = df.agg(F.count_distinct(file).alias("files"))
-    out = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(file).alias("in_files")).crossJoin(files)
-    share = F.col("in_files") / F.col("files")
-    rare = F.col("n") <= 5 * F.col("files")
-    verdict = F.when(share >= 0.85, "good").when(share >= 0.5, "partial").when(rare, "rare").when(share >= 0.05, "poor").otherwise("bad")
-    return out.withColumn("spread", share).withColumn("verdict", verdict)
+    """How far apart the first and the last file of each label lie among all
+    files in order, with a verdict; and whether a rare label's rows are all in one."""
+    files = df.select(file).distinct().withColumn("i__", F.row_number().over(Window.orderBy(file)) - 1)
+    n = files.agg(F.count(F.lit(1)).alias("files"))
+    out = df.join(files, file).groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(file).alias("in_files"), F.max("i__").alias("hi__"), F.min("i__").alias("lo__")
+    )
+    out = out.crossJoin(n).withColumn("spread", (F.col("hi__") - F.col("lo__")) / F.greatest(F.col("files") - 1, F.lit(1))).drop("hi__", "lo__")
+    verdict = F.when(F.col("spread") >= 0.85, "uniform").when(F.col("spread") >= 0.5, "moderate").when(F.col("spread") >= 0.05, "BATCH SEGMENT").otherwise("NEAR-SINGLE BATCH")
+    return (
+        out.withColumn("verdict", verdict)
+        .withColumn("rare", F.col("n") <= 5 * F.col("files"))
+        .withColumn("suspicious", F.col("rare") & (F.col("n") > 3) & (F.col("in_files") == 1))
+    )
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

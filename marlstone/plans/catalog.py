@@ -18,8 +18,9 @@ def tables(rows: DataFrame, names: DataFrame, most_points: int = 2000) -> dict[s
     series = metrics.downsample(one.where("loss is not null").select("run", "step", F.col("loss").alias("value")), most_points)
     raw = rows.select("run", "line", "step", "loss", "lr", F.col("clipped").cast("double").alias("clip"), F.col("skipped").cast("double").alias("skip"),
                       F.lit(None).cast("double").alias("head"), F.lit(None).cast("double").alias("other"), F.lit(False).alias("resumed"))
-    runs = lineage.timeline(lineage.parse_names(names)).withColumn("ord", F.col("place")).withColumn("stage", lineage.stage(F.col("name")))
-    edges = lineage.parents(runs.select("id", "ord", "model_size", "data_recipe", "experiment"), {"data_recipe": 4, "experiment": 2}, "model_size")
+    parsed = lineage.variables(lineage.parse_names(names))
+    runs = lineage.timeline(parsed).withColumn("ord", F.col("place")).withColumn("stage", lineage.stage(F.col("name"), F.col("model_size"), F.col("data_recipe")))
+    edges = lineage.parents(runs.select("id", "ord", "tags", *lineage.PARENT_WEIGHTS), lineage.PARENT_WEIGHTS, tags="tags", later=lineage.LATER_WEIGHT)
     return {
         "runs": runs.withColumn("key", scalars.short_hash(F.col("name"))),
         "metric_series": series.withColumn("series", F.lit("loss")),

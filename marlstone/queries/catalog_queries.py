@@ -32,17 +32,26 @@ SELECT id, name, substr(t, 1, 4) || '-' || substr(t, 5, 2) || '-' || substr(t, 7
   split_part(rest, '_', 1) AS model_size, regexp_extract(name, '(data(_[0-9]+)+)', 1) AS data_recipe, regexp_replace(rest, '^[0-9a-z]+_data(_[0-9]+)+_', '') AS experiment FROM s""",
 )
 def parse_run_names(spark, sf_dir):
-    return lineage.parse_names(_names(spark, sf_dir))
+    return lineage.parse_names(_names(spark, sf_dir)).drop("tags")
+
+
+_STAGE = """CASE WHEN size = '500m' AND (name LIKE '%stab%') THEN '500M stability incident and fixes' WHEN name LIKE '%5epoch%' OR name LIKE '%epoch5%' THEN 'Multi-epoch and resume experiments'
+  WHEN name LIKE '%lr%' THEN '100M learning-rate sweep' WHEN name LIKE '%huber%' OR name LIKE '%fp32%' OR name LIKE '%lossw%' OR name LIKE '%shuffleall%' THEN 'fp32 + Huber, modality, loss-weight, and shuffle experiments'
+  WHEN recipe IN ('data_1', 'data_1_3', 'data_1_2_3') THEN 'Data 1 / 1+3 / 1+2+3 comparisons' ELSE 'Initial smoke and model-scale tests' END"""
+_PARSED = _NAMES + """, v AS (SELECT id, name, split_part(name, '_', 3) AS size, regexp_extract(name, 'data(_[0-9]+)+', 0) AS recipe FROM n)"""
 
 
 @register(
     "variable_tokens",
-    f"""WITH {_NAMES} SELECT id, CASE id % 4 WHEN 1 THEN '5e-4' WHEN 0 THEN NULL ELSE '0.5' END AS number,
-  CASE id % 4 WHEN 0 THEN 'scratch' WHEN 1 THEN 'resume' ELSE 'main' END AS stage FROM n""",
+    f"""WITH {_PARSED} SELECT id, CASE id % 4 WHEN 1 THEN '5e-4' WHEN 0 THEN NULL ELSE '0.5' END AS number, CASE id % 4 WHEN 0 THEN 'from_scratch' WHEN 1 THEN 'lr5em4,resume' ELSE 'clip0p5' END AS tags,
+  {_STAGE} AS stage, CASE WHEN size = '500m' OR name LIKE '%clip0p5%' THEN '500M stability' WHEN name LIKE '%lr%' THEN 'LR / schedule' WHEN size = '1b' THEN 'Scale smoke' ELSE '100M data baselines' END AS lane FROM v""",
 )
 def variable_tokens(spark, sf_dir):
-    token = F.get(F.filter(scalars.name_tokens(F.col("name")), lambda t: t.rlike("^(lr|clip)[0-9]")), F.lit(0))
-    return _names(spark, sf_dir).select("id", scalars.readable_number(token).alias("number"), lineage.stage(F.col("name")).alias("stage"))
+    n = lineage.parse_names(_names(spark, sf_dir))
+    token = F.get(F.filter("tags", lambda t: t.rlike("^(lr|clip)[0-9]")), F.lit(0))
+    size, recipe = F.col("model_size"), F.col("data_recipe")
+    return n.select("id", scalars.readable_number(token).alias("number"), F.array_join("tags", ",").alias("tags"),
+                    lineage.stage(F.col("name"), size, recipe).alias("stage"), lineage.lane(F.col("name"), size, recipe).alias("lane"))
 
 
 _ART = """a AS (SELECT page_id, page_id // 10 AS run, CASE page_id % 8 WHEN 0 THEN 'metrics.' || CAST(page_id % 7 AS VARCHAR) || '-0.jsonl' WHEN 1 THEN 'loss_to_log.0-0.txt' WHEN 2 THEN 'log.0-1.txt'
@@ -60,7 +69,7 @@ def _artifacts(spark, sf_dir):
 
 @register(
     "artifact_kinds",
-    f"""WITH {_ART}, k AS (SELECT run, size, CASE page_id % 8 WHEN 0 THEN 'metrics' WHEN 1 THEN 'loss_csv' WHEN 2 THEN 'log' WHEN 3 THEN 'summary' WHEN 4 THEN 'run_record' WHEN 5 THEN 'plot' WHEN 6 THEN 'checkpoint' END AS kind FROM a)
+    f"""WITH {_ART}, k AS (SELECT run, size, CASE page_id % 8 WHEN 0 THEN 'metrics_jsonl' WHEN 1 THEN 'loss_log' WHEN 2 THEN 'log' WHEN 3 THEN 'summary_md' WHEN 4 THEN 'run_record_json' WHEN 5 THEN 'training_curve_png' WHEN 6 THEN 'checkpoint' END AS kind FROM a)
 SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM k WHERE kind IS NOT NULL GROUP BY kind""",
 )
 def artifact_kinds(spark, sf_dir):
@@ -131,7 +140,7 @@ def _edges(spark, sf_dir):
     return lineage.parents(_runs(spark, sf_dir), {"data": 4, "recipe": 2}, "lane")
 
 
-@register("parent_inference", f"WITH {_PARENTS} SELECT parent, child, CAST(score AS BIGINT) AS score FROM e")
+@register("parent_inference", f"WITH {_PARENTS} SELECT parent, child, CAST(score AS DOUBLE) AS score FROM e")
 def parent_inference(spark, sf_dir):
     return _edges(spark, sf_dir)
 
@@ -144,7 +153,7 @@ def edge_semi_join(spark, sf_dir):
 @register(
     "variable_changes",
     f"""WITH {_PARENTS}, c AS (SELECT id AS run, 'data' AS key, CAST(data AS VARCHAR) AS value FROM r UNION ALL SELECT id, 'recipe', CAST(recipe AS VARCHAR) FROM r WHERE id % 2 = 0)
-SELECT e.parent AS parent, e.child AS child, b.key AS key, a.value AS before, b.value AS after, b.key || ' | ' || coalesce(a.value, 'default') || ' -> ' || b.value AS label
+SELECT e.parent AS parent, e.child AS child, b.key AS key, a.value AS before, b.value AS after, b.key || ': ' || coalesce(a.value, 'default') || ' -> ' || b.value AS label
 FROM e JOIN c b ON b.run = e.child LEFT JOIN c a ON a.run = e.parent AND a.key = b.key WHERE b.value <> '0' AND b.value IS DISTINCT FROM a.value""",
 )
 def variable_changes(spark, sf_dir):
@@ -200,12 +209,11 @@ def timeline_order(spark, sf_dir):
     return lineage.timeline(n.withColumn("started_at", started)).select("id", "place")
 
 
-@register(
-    "stage_report",
-    f"""WITH {_NAMES}, s AS (SELECT name, CASE id % 4 WHEN 0 THEN 'scratch' WHEN 1 THEN 'resume' ELSE 'main' END AS stage FROM n) SELECT stage, count(*) AS runs, min(name) AS first_name FROM s GROUP BY stage""",
-)
+@register("stage_report", f"WITH {_PARSED}, s AS (SELECT name, {_STAGE} AS stage FROM v) SELECT stage, count(*) AS runs, min(name) AS first_name FROM s GROUP BY stage")
 def stage_report(spark, sf_dir):
-    return _names(spark, sf_dir).groupBy(lineage.stage(F.col("name")).alias("stage")).agg(F.count(F.lit(1)).alias("runs"), F.min("name").alias("first_name"))
+    n = lineage.parse_names(_names(spark, sf_dir))
+    rule = lineage.stage(F.col("name"), F.col("model_size"), F.col("data_recipe"))
+    return n.groupBy(rule.alias("stage")).agg(F.count(F.lit(1)).alias("runs"), F.min("name").alias("first_name"))
 
 
 _NEST = "t AS (SELECT user_id AS batch, CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM events), k AS (SELECT batch, id, count(*) AS n, row_number() OVER (PARTITION BY batch ORDER BY count(*) DESC, id) AS r FROM t GROUP BY batch, id)"
@@ -302,14 +310,14 @@ def size_texts(spark, sf_dir):
 @register(
     "label_normalisation",
     """SELECT c_custkey, lower(replace(trim('  ' || c_name || ' x '), ' ', '_')) AS name, CASE c_custkey % 3 WHEN 0 THEN 'homo_sapiens' WHEN 1 THEN 'mus_musculus' ELSE 'other_kind' END AS species,
-  CASE c_custkey % 2 WHEN 0 THEN 'normal' ELSE 'flu' END AS disease, CASE c_custkey % 2 WHEN 0 THEN '10x multiome' ELSE 'unknown' END AS assay FROM customer""",
+  CASE c_custkey % 2 WHEN 0 THEN 'normal' ELSE 'flu' END AS disease, CASE c_custkey % 2 WHEN 0 THEN '10x gene expression flex' ELSE 'unknown' END AS assay FROM customer""",
 )
 def label_normalisation(spark, sf_dir):
     k = F.col("c_custkey")
     species = F.when(k % 3 == 0, "Human ").when(k % 3 == 1, "mouse").otherwise("Other Kind")
     return table(spark, sf_dir, "customer").select(
         "c_custkey", scalars.lower_underscore(F.concat(F.lit("  "), F.col("c_name"), F.lit(" x "))).alias("name"), scalars.latin_species(species).alias("species"),
-        scalars.disease_label(F.when(k % 2 == 0, " Health").otherwise("Flu")).alias("disease"), scalars.assay_name(F.when(k % 2 == 0, "Multiome").otherwise("zz")).alias("assay"),
+        scalars.disease_label(F.when(k % 2 == 0, " Health").otherwise("Flu")).alias("disease"), scalars.assay_name(F.when(k % 2 == 0, "flex").otherwise("zz")).alias("assay"),
     )
 
 
@@ -360,7 +368,7 @@ def parent_rows(spark, sf_dir):
     """WITH c AS (SELECT l_orderkey AS parent, l_orderkey + 1 AS child, l_linenumber AS key, 'item ' || CAST(l_partkey AS VARCHAR) AS label FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY key, label) AS i, count(*) OVER (PARTITION BY parent) AS n FROM c)
 SELECT parent, child, string_agg(label, ',' ORDER BY i) FILTER (WHERE i <= 6) AS evidence,
-  string_agg(label, '; ' ORDER BY i) FILTER (WHERE i <= 4) || CASE WHEN max(n) > 4 THEN '; +' || CAST(max(n) - 4 AS VARCHAR) || ' more' ELSE '' END AS summary FROM r GROUP BY parent, child""",
+  string_agg(label, ' | ' ORDER BY i) FILTER (WHERE i <= 4) || CASE WHEN max(n) > 4 THEN ' | +' || CAST(max(n) - 4 AS VARCHAR) || ' more' ELSE '' END AS summary FROM r GROUP BY parent, child""",
 )
 def change_evidence(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), (F.col("l_orderkey") + 1).alias("child"), F.col("l_linenumber").alias("key"),
@@ -377,3 +385,17 @@ def presence_masks(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, 1).alias("a"), F.when(F.col("event_id") % 3 == 0, 1).alias("b"), F.lit("x").alias("c"))
     return presence_mask(e, ["a", "b", "c"]).select("event_id", "present")
+
+
+@register(
+    "weighted_parents",
+    f"""WITH {_PARSED}, w AS (SELECT id, name, size, recipe, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'lr5em4,resume' ELSE 'clip0p5' END AS tags,
+  CASE WHEN size = '500m' OR name LIKE '%clip0p5%' THEN 'a' WHEN name LIKE '%lr%' THEN 'b' WHEN size = '1b' THEN 'c' ELSE 'd' END AS lane FROM v WHERE id < 400),
+p AS (SELECT b.id AS parent, a.id AS child, round(0.01 * b.id + CASE WHEN a.lane = b.lane THEN 5 ELSE 0 END + CASE WHEN a.size = b.size THEN 4 ELSE 0 END + CASE WHEN a.recipe = b.recipe THEN 4 ELSE 0 END + 2
+  + CASE WHEN a.id % 4 = 1 AND b.id % 4 = 1 THEN 2 + 2.4 WHEN a.tags = 'clip0p5' AND b.tags = 'clip0p5' THEN 1.2 ELSE 0 END, 6) AS score FROM w a JOIN w b ON b.id < a.id)
+SELECT parent, child, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY score DESC, parent) AS k FROM p) WHERE k = 1""",
+)
+def weighted_parents(spark, sf_dir):
+    runs = lineage.variables(lineage.parse_names(_names(spark, sf_dir).where("id < 400"))).withColumn("ord", F.col("id"))
+    keep = runs.select("id", "ord", "tags", *lineage.PARENT_WEIGHTS)
+    return lineage.parents(keep, lineage.PARENT_WEIGHTS, tags="tags", later=lineage.LATER_WEIGHT)

@@ -197,11 +197,11 @@ def runs_test_p(spark, sf_dir):
 
 @register(
     "rare_species_spread",
-    f"""WITH {CELLS}, t AS (SELECT count(DISTINCT file) AS files FROM c),
-o AS (SELECT species, count(*) AS n, count(DISTINCT file) AS in_files FROM c WHERE NOT (species < 5 AND file % 2 = 0) GROUP BY species)
-SELECT species, n, in_files, files, round(in_files * 1.0 / files, 6) AS spread,
-  CASE WHEN in_files * 1.0 / files >= 0.85 THEN 'good' WHEN in_files * 1.0 / files >= 0.5 THEN 'partial' WHEN n <= 5 * files THEN 'rare' WHEN in_files * 1.0 / files >= 0.05 THEN 'poor' ELSE 'bad' END AS verdict
-FROM o CROSS JOIN t""",
+    f"""WITH {CELLS}, s AS (SELECT species, file FROM c WHERE NOT (species < 5 AND file % 2 = 0)), g AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS i FROM (SELECT DISTINCT file FROM s)),
+t AS (SELECT count(*) AS files FROM g), o AS (SELECT species, count(*) AS n, count(DISTINCT s.file) AS in_files, max(i) - min(i) AS d FROM s JOIN g ON s.file = g.file GROUP BY species),
+x AS (SELECT species, n, in_files, files, d * 1.0 / greatest(files - 1, 1) AS spread FROM o CROSS JOIN t)
+SELECT species, n, in_files, files, round(spread, 6) AS spread, CASE WHEN spread >= 0.85 THEN 'uniform' WHEN spread >= 0.5 THEN 'moderate' WHEN spread >= 0.05 THEN 'BATCH SEGMENT' ELSE 'NEAR-SINGLE BATCH' END AS verdict,
+  n <= 5 * files AS rare, n <= 5 * files AND n > 3 AND in_files = 1 AS suspicious FROM x""",
 )
 def rare_species_spread(spark, sf_dir):
     df = cells(spark, sf_dir).select("species", "file").where(~((F.col("species") < 5) & (F.col("file") % 2 == 0)))

@@ -174,39 +174,42 @@ def health_verdict(spark, sf_dir):
     return rounded(metrics.health(deduped(spark, sf_dir), 0.3, 3, 25.0))
 
 
-_P = controller.Settings()
-_CLIP = f"CASE WHEN z.n < {_P.warm} THEN {_P.clip_start} ELSE greatest({_P.clip_low}, least({_P.clip_high}, z.ema * {_P.clip_ratio})) END"
-_SKIP = f"CASE WHEN z.n < {_P.warm} THEN {_P.skip_max} ELSE least(z.ema * {_P.skip_ratio}, {_P.skip_max}, {_P.hard_limit}) END"
-_GIVEN = f"CASE WHEN z.n = 0 THEN w.norm ELSE least(w.norm, z.ema * {_P.clip_ratio}) END"
-
-
-def _pack(n, ema, passed, clipped, skipped, in_row, aborted):
-    return (
-        f"struct_pack(norm := CAST(NULL AS DOUBLE), step := CAST(NULL AS BIGINT), n := CAST({n} AS BIGINT), ema := CAST({ema} AS DOUBLE), passed := CAST({passed} AS BIGINT), "
-        f"clipped := CAST({clipped} AS BIGINT), skipped := CAST({skipped} AS BIGINT), row_skips := CAST({in_row} AS BIGINT), aborted_at := CAST({aborted} AS BIGINT))"
-    )
-
-
+_P = controller.Settings(static_clip=10.0, beta=0.9, clip_ratio=1.5, skip_ratio=3.0, skip_max=30.0, clip_min=0.5, clip_max=20.0, warm=5, most_skips=3, runaway=1.2, hard_limit=45.0)
+_READY = f"(z.observed >= {_P.warm} AND z.observed > 0)"
+_CLIP = f"CASE WHEN {_READY} THEN greatest({_P.clip_min}, least({_P.clip_max}, z.ema * {_P.clip_ratio})) ELSE {_P.static_clip} END"
+_SKIP = f"CASE WHEN {_READY} THEN least(z.ema * {_P.skip_ratio}, {_P.skip_max}, {_P.hard_limit}) ELSE {_P.hard_limit} END"
+_IS_SKIP = f"w.norm > {_SKIP}"
+_IS_CLIP = f"(NOT {_IS_SKIP} AND w.norm > {_CLIP})"
+_GIVEN = f"least(CASE WHEN z.observed = 0 THEN w.norm ELSE least(w.norm, z.ema * {_P.clip_ratio}) END, {_P.cap})"
+_MEAN = f"CASE WHEN {_IS_SKIP} THEN z.ema WHEN z.observed = 0 THEN {_GIVEN} ELSE {_P.beta} * z.ema + {1.0 - _P.beta} * {_GIVEN} END"
+_IN_ROW = f"CASE WHEN {_IS_SKIP} THEN z.skips_in_row + 1 ELSE 0 END"
+_CLIP_ROW = f"CASE WHEN {_IS_CLIP} THEN z.clips_in_row + 1 ELSE 0 END"
+_REASON = f"CASE WHEN w.norm > {_P.hard_limit} THEN 'hard_limit' WHEN {_IN_ROW} >= {_P.most_skips} THEN 'skips_in_row' WHEN {_MEAN} > {_P.cap * _P.runaway} THEN 'runaway' END"
+
+
+def _pack(*values, norm="CAST(NULL AS DOUBLE)", at="CAST(NULL AS BIGINT)"):
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    fields = ", ".join(f"{name} := CAST({v} AS {kinds[kind]})" for v, (name, kind) in zip(values, controller.STATE))
+    return f"struct_pack(norm := {norm}, step := {at}, {fields})"
+
+
+_ZERO = (0, "0.0", "0.0", 0, 0, 0, 0, 0, 0, 0, "NULL", "NULL")
 _NEXT = _pack(
-    "z.n + 1",
-    f"least(CASE WHEN w.norm > {_SKIP} THEN z.ema WHEN z.n = 0 THEN {_GIVEN} ELSE {_P.decay} * z.ema + {1 - _P.decay} * {_GIVEN} END, {_P.skip_max / _P.skip_ratio})",
-    f"z.passed + CASE WHEN w.norm > {_SKIP} OR w.norm > {_CLIP} THEN 0 ELSE 1 END",
-    f"z.clipped + CASE WHEN NOT w.norm > {_SKIP} AND w.norm > {_CLIP} THEN 1 ELSE 0 END",
-    f"z.skipped + CASE WHEN w.norm > {_SKIP} THEN 1 ELSE 0 END",
-    f"CASE WHEN w.norm > {_SKIP} THEN z.row_skips + 1 ELSE 0 END",
-    f"CASE WHEN w.norm > {_P.hard_limit} OR (CASE WHEN w.norm > {_SKIP} THEN z.row_skips + 1 ELSE 0 END) >= {_P.most_skips} THEN w.step END",
-)
-_ROW = "struct_pack(norm := norm, step := step, n := CAST(0 AS BIGINT), ema := CAST(0 AS DOUBLE), passed := CAST(0 AS BIGINT), clipped := CAST(0 AS BIGINT), skipped := CAST(0 AS BIGINT), row_skips := CAST(0 AS BIGINT), aborted_at := CAST(NULL AS BIGINT))"
+    f"z.observed + CASE WHEN {_IS_SKIP} THEN 0 ELSE 1 END", _MEAN, f"greatest(z.ema_max, CASE WHEN {_IS_SKIP} THEN z.ema_max ELSE {_MEAN} END)",
+    f"z.passed + CASE WHEN {_IS_SKIP} OR {_IS_CLIP} THEN 0 ELSE 1 END", f"z.clipped + CASE WHEN {_IS_CLIP} THEN 1 ELSE 0 END", f"z.skipped + CASE WHEN {_IS_SKIP} THEN 1 ELSE 0 END",
+    _IN_ROW, _CLIP_ROW, f"greatest(z.longest_skips, {_IN_ROW})", f"greatest(z.longest_clips, {_CLIP_ROW})", f"CASE WHEN ({_REASON}) IS NOT NULL THEN w.step END", _REASON,
+)
+_NAMES = ", ".join(f"round(s.{n}, 6) AS {n}" if k == "double" else f"s.{n} AS {n}" for n, k in controller.STATE)
 
 
 @register(
     "clip_controller_replay",
-    f"""WITH {DEDUPED}, l AS (SELECT run, list({_ROW} ORDER BY step, norm) AS rows FROM d WHERE norm IS NOT NULL GROUP BY run),
-f AS (SELECT run, list_reduce(rows, lambda z, w: CASE WHEN z.aborted_at IS NOT NULL THEN z ELSE {_NEXT} END, {_pack(0, '0.0', 0, 0, 0, 0, 'NULL')}) AS s FROM l)
-SELECT run, s.n AS n, round(s.ema, 6) AS ema, s.passed AS passed, s.clipped AS clipped, s.skipped AS skipped, s.row_skips AS row_skips, s.aborted_at AS aborted_at FROM f""",
+    f"""WITH {DEDUPED}, l AS (SELECT run, list({_pack(*_ZERO, norm='norm', at='step')} ORDER BY step, norm) AS rows FROM d WHERE norm IS NOT NULL GROUP BY run),
+f AS (SELECT run, list_reduce(rows, lambda z, w: CASE WHEN z.reason IS NOT NULL THEN z ELSE {_NEXT} END, {_pack(*_ZERO)}) AS s FROM l)
+SELECT run, {_NAMES} FROM f""",
 )
 def clip_controller_replay(spark, sf_dir):
-    return rounded(controller.replay(deduped(spark, sf_dir)))
+    return rounded(controller.replay(deduped(spark, sf_dir), _P))
 
 
 @register(

@@ -7,42 +7,25 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.controller import Settings
+from ..operators.controller import START, STATE, Settings, next_state
 from ..session import reach_workers
 
-STATE = "n bigint, ema double, passed bigint, clipped bigint, skipped bigint, row_skips bigint, aborted_at bigint"
-
-
-def next_state(s: tuple, step: int, norm: float, p: Settings) -> tuple:
-    """As :func:`marlstone.operators.controller.step`; ``aborted_at`` is -1 before."""
-    n, ema, passed, clipped, skipped, in_row, aborted = s
-    if aborted >= 0:
-        return s
-    clip = p.clip_start if n < p.warm else max(p.clip_low, min(p.clip_high, ema * p.clip_ratio))
-    skip = p.skip_max if n < p.warm else min(ema * p.skip_ratio, p.skip_max, p.hard_limit)
-    skips = norm > skip
-    clips = not skips and norm > clip
-    if not skips:
-        given = norm if n == 0 else min(norm, ema * p.clip_ratio)
-        ema = given if n == 0 else p.decay * ema + (1 - p.decay) * given
-    ema = min(ema, p.skip_max / p.skip_ratio)
-    in_row = in_row + 1 if skips else 0
-    stop = norm > p.hard_limit or in_row >= p.most_skips
-    return n + 1, ema, passed + (not skips and not clips), clipped + clips, skipped + skips, in_row, step if stop else -1
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in STATE)
 
 
 def replay_stream(stream: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``stream(run, step, norm)`` -> the state of each run after every batch;
-    rows of a batch are taken in step order."""
+    rows of a batch are taken in step order, ``aborted_at`` is -1 and ``reason``
+    empty while the run goes on."""
 
     def fold(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = state.get if state.exists else (0, 0.0, 0, 0, 0, 0, -1)
-        rows = pd.concat(list(frames)).dropna(subset=["norm"]).sort_values(["step", "norm"])
+        s = state.get if state.exists else START
+        rows = pd.concat([f[f["norm"].notna()] for f in frames]).sort_values(["step", "norm"])
         for step, norm in zip(rows["step"], rows["norm"]):
             s = next_state(s, int(step), float(norm), settings)
-        s = (int(s[0]), float(s[1]), *(int(x) for x in s[2:]))
+        s = tuple({"double": float, "bigint": int, "string": str}[kind](v) for v, (_, kind) in zip(s, STATE))
         state.update(s)
-        yield pd.DataFrame([(key[0], *s)], columns=["run", "n", "ema", "passed", "clipped", "skipped", "row_skips", "aborted_at"])
+        yield pd.DataFrame([(key[0], *s)], columns=["run", *[name for name, _ in STATE]])
 
     reach_workers(stream.sparkSession)
-    return stream.groupBy("run").applyInPandasWithState(fold, "run bigint, " + STATE, STATE, "update", "NoTimeout")
+    return stream.groupBy("run").applyInPandasWithState(fold, "run bigint, " + SCHEMA, SCHEMA, "update", "NoTimeout")

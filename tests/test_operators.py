@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import arrays, scalars
 from marlstone.operators import controller, encode, layout, lineage, metrics, ordering, quality, rules
-from marlstone.streaming.replay import next_state
 
 
 def rows(df, *cols):
@@ -58,15 +57,22 @@ def test_empty_window_is_kept(spark):
 
 
 def test_controller_matches_plain_python(spark):
-    data = [(r, s, float((s * 13 + r * 5) % 19) * (1 + r)) for r in range(5) for s in range(25)] + [(9, 1, None)]
+    inf = float("inf")
+    data = [(r, s, float((s * 13 + r * 5) % 19) * (1 + r)) for r in range(5) for s in range(25)] + [(9, 1, None), (8, 1, 1.0), (8, 2, float("nan")), (8, 3, inf)]
     df = spark.createDataFrame(data, "run int, step bigint, norm double")
-    p = controller.Settings()
+    p = controller.Settings(10.0, 0.9, 1.5, 3.0, 30.0, 0.5, 20.0, 5, 3, 1.2, 45.0)
+    reasons = set()
     for r in controller.replay(df, p).collect():
-        s = (0, 0.0, 0, 0, 0, 0, -1)
+        s = controller.START
         for _, step, norm in sorted(x for x in data if x[0] == r.run):
-            s = next_state(s, step, norm, p)
-        assert (r.n, r.passed, r.clipped, r.skipped, r.row_skips) == (s[0], s[2], s[3], s[4], s[5])
-        assert r.ema == pytest.approx(s[1]) and (r.aborted_at if r.aborted_at is not None else -1) == s[6]
+            s = controller.next_state(s, step, norm, p)
+        assert tuple(r)[1:11] == pytest.approx(s[:10]) and (r.aborted_at if r.reason else -1, r.reason or "") == s[10:]
+        reasons.add(r.reason)
+    assert {"hard_limit", None} <= reasons
+    calm = controller.replay(spark.createDataFrame([(1, i, 1.0) for i in range(300)], "run int, step bigint, norm double")).first()
+    assert (calm.clipped, calm.passed, calm.reason) == (200, 100, None)  # the static threshold holds for the warm-up
+    three = controller.replay(spark.createDataFrame([(1, i, inf) for i in range(9)], "run int, step bigint, norm double"), p).first()
+    assert (three.reason, three.aborted_at, three.skipped, three.observed) == ("skips_in_row", 2, 3, 0)
 
 
 # --- rules
@@ -185,7 +191,9 @@ def test_names(spark):
     names = ["training_output_100m_data_1_2_3_stable_lr5em4_from_scratch_20260523_130351", "training_output_500m_stab_A_20260518_213646", "other", "x_20261399_999999"]
     got = lineage.parse_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()
     assert (got[0].started_at, got[0].model_size, got[0].data_recipe, got[0].experiment) == ("2026-05-23T13:03:51", "100m", "data_1_2_3", "stable_lr5em4_from_scratch")
-    assert (got[1].data_recipe, got[1].model_size, got[2].started_at, got[3].started_at) == (None, "500m", None, None)
+    assert got[0].tags == ["stable", "lr5em4", "from_scratch"]
+    assert (got[1].data_recipe, got[1].model_size, got[1].experiment, got[2].started_at, got[3].started_at) == ("", "500m", "stab_A", None, None)
+    assert (got[2].model_size, got[2].experiment) == ("unknown", "other")
 
 
 def test_parents_and_index(spark):
