@@ -104,7 +104,7 @@ def nearest(df: DataFrame, prototypes: DataFrame, r: int, tau: float = 1.0) -> D
 
     by = Window.partitionBy("id")
     scored = df.join(F.broadcast(prototypes)).withColumn("sim", cosine(F.col("vec"), F.col("proto")))
-    top = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "k"))).where(F.col("rank") <= r)
+    top = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "k")).cast("bigint")).where(F.col("rank") <= r)
     e = F.exp(F.col("sim") / tau)
     return top.withColumn("w", e / F.sum(e).over(by)).select("id", "k", "rank", "sim", "w")
 
