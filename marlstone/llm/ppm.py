@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ SYMBOLS = 256
 MAX_ENTRIES = 3_000_000
 HEAD = 1 << 17
 #: Bytes scored or counted at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 WORDS_HELD = 200_000
 #: The end as a token; words have no space.
 END_TOKEN = b" "
@@ -81,7 +80,7 @@ class Table:
     EMPTY = np.uint64(2**64 - 1)
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.4 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.places = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.int32)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -343,38 +342,21 @@ def trie_scores(raws: list[bytes], trie: Trie) -> np.ndarray:
     return np.add.reduceat(value, np.cumsum(sizes) - sizes)
 
 
-def _added(docs: DataFrame, trie: Trie) -> DataFrame:
-    """``docs(…, text, …, score)`` with the trie's scores added to ``score``."""
+def _part(docs: DataFrame, trie: Trie) -> DataFrame:
+    """``key, score``: what one part of a split model adds for each text."""
+    texts = docs.select(row_key("doc_id", "text").alias("key"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(trie)
-    t, s = docs.columns.index("text"), docs.columns.index("score")
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            parts = [trie_scores(raws, own) for raws in _blocks(batch.column(t).to_pylist())]
-            total = np.concatenate(parts or [np.zeros(0)]) + batch.column(s).to_numpy()
-            yield batch.set_column(s, "score", pa.array(total))
+            parts = [trie_scores(raws, own) for raws in _blocks(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts or [np.zeros(0)]))], ["key", "score"])
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _scored(rows: DataFrame, docs: DataFrame, counted: DataFrame, order: int, most: int) -> DataFrame:
-    """``rows`` with scores. One part of the model is applied as the rows pass
-    by; of several, each makes a pass of its own over the texts, so that no
-    executor holds more than one."""
-    parts = tries(counted, order, most)
-    first = next(parts)
-    if first.last_bytes is None:
-        return _added(rows, first).drop("text")
-    sums = None
-    for trie in chain([first], parts):
-        texts = docs.select(row_key("doc_id", "text").alias("key"), "text", F.lit(0.0).alias("score"))
-        # rows repeated as a whole have equal scores
-        part = materialise(_added(texts, trie).groupBy("key").agg(F.max("score").alias("score")))
-        sums = part if sums is None else sums.union(part)
-    sums = sums.groupBy("key").agg(F.sum("score").alias("score"))
-    keyed = rows.withColumn("key", row_key("doc_id", "text")).drop("text", "score")
-    return materialise(keyed).join(sums, "key").drop("key")
+    # rows repeated as a whole have equal scores
+    out = materialise(texts.mapInArrow(run, "key bigint, score double").groupBy("key").agg(F.max("score").alias("score")))
+    shared.unpersist()
+    return out
 
 
 def score(docs: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES, head: int = HEAD) -> DataFrame:
@@ -393,31 +375,45 @@ def score(docs: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES, head: in
         if room < 0:
             break
         least = r.l
-    frequent = {bytes(r.word): math.log10(r.n + 1) - bottom for r in words.where(level >= least).collect()}
+    head_words = words.where(level >= least).toArrow()
+    frequent = dict(zip(head_words["word"].to_pylist(), (np.log10(head_words["n"].to_numpy() + 1.0) - bottom).tolist()))
     held = spark.sparkContext.broadcast(frequent)
+    parts = tries(counted, order, most)
+    first = next(parts)
+    # a model of one part goes along in the same pass over the texts
+    whole = spark.sparkContext.broadcast(first) if first.last_bytes is None else None
 
     def base(batches):
-        get = held.value.get
+        get, trie = held.value.get, whole.value if whole else None
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n_tokens, known, sums, rare = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ws = tokens(_raw(text))
-                got = list(map(get, ws))
-                hits = [x for x in got if x is not None]
-                n_tokens.append(len(ws))
-                known.append(len(hits))
-                sums.append(math.fsum(hits))
-                rare.append([w for w, x in zip(ws, got) if x is None] if len(hits) < len(ws) else [])
+            n_tokens, known, sums, rare, scores = [], [], [], [], []
+            for raws in _blocks(batch.column(1).to_pylist()):
+                for raw in raws:
+                    ws = tokens(raw)
+                    got = list(map(get, ws))
+                    hits = [x for x in got if x is not None]
+                    n_tokens.append(len(ws))
+                    known.append(len(hits))
+                    sums.append(math.fsum(hits))
+                    rare.append([w for w, x in zip(ws, got) if x is None] if len(hits) < len(ws) else [])
+                scores.append(trie_scores(raws, trie) if trie else np.zeros(len(raws)))
             uids = np.arange(uid, uid + len(known))
             uid += len(known)
             cols = [pa.array(x, k) for x, k in ((n_tokens, pa.int64()), (known, pa.int64()), (sums, pa.float64()), (rare, pa.list_(pa.binary())), (uids, pa.int64()))]
-            cols.append(pa.array(np.zeros(len(known))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "n_tokens", "known", "sum", "rare", "uid", "score"])
+            cols.append(pa.array(np.concatenate(scores or [np.zeros(0)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["doc_id", "key", "n_tokens", "known", "sum", "rare", "uid", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(base, f"doc_id {kind}, text string, n_tokens bigint, known bigint, sum double, rare array<binary>, uid bigint, score double")
-    rows = materialise(_scored(rows, docs, counted, order, most))
+    rows = docs.withColumn("key", row_key("doc_id", "text")).mapInArrow(
+        base, f"doc_id {kind}, key bigint, n_tokens bigint, known bigint, sum double, rare array<binary>, uid bigint, score double"
+    )
+    rows = materialise(rows)
+    if whole is None:  # each part makes a pass of its own, so that no executor holds more than one
+        sums = _part(docs, first)
+        for trie in parts:
+            sums = sums.union(_part(docs, trie))
+        rows = rows.drop("score").join(sums.groupBy("key").agg(F.sum("score").alias("score")), "key")
     tail = rows.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("tf"))
     looked_up = (
         tail.join(words, "word", "left")
