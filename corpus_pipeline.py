@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from marlstone.llm import decontaminate, line_dedup, packing, toxicity
+from marlstone.llm import near_copies as near
 from marlstone.llm.common import materialise, table
 from marlstone.llm.queries import tokenizer_file
 
@@ -30,7 +31,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return near.keep_first(docs)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
