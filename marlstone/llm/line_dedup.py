@@ -8,6 +8,11 @@ estimates far from it decide by themselves. A line of ``min_sites`` sites or
 more is boilerplate; a long line, of more than ``long_words`` words, is a
 repeated passage as soon as two documents hold it. The first occurrence of each
 (smallest ``doc_id``, then place) stays, so that no text leaves the corpus.
+With ``runs``, consecutive lines that together hold more than ``long_words`` words
+and stand in two documents are a passage too: from each line on, and back from
+each, the shortest run of so many words is hashed, and such runs cover every
+longer one. Blank lines inside a run don't count. A line goes only where an
+earlier place has the same one, so each line's first place stays.
 
 Defined cases: a null text stays null and has no lines; blank lines stay; a null
 site counts as a site of its own; a null ``doc_id`` sorts first; rows repeated
@@ -17,9 +22,12 @@ columns of other names pass through.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
 from .common import materialise, row_key
 
 MIN_SITES = 8
@@ -88,23 +96,77 @@ def spread(found: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_
     return sure.union(near.join(exact.select("line"), "line"))
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS) -> DataFrame:
+def shortest_runs(text: str | None, long_words: int = LONG_WORDS) -> list[tuple[int, list[int]]]:
+    """``(hash, places)`` of the shortest runs of two lines or more that hold more
+    than ``long_words`` words, from each line on and back from each."""
+    real = [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip(" ")]
+    words = [sum(map(bool, x.split(" "))) for _, x in real]
+    spans, start, held = set(), 0, 0
+    for end, n in enumerate(words):
+        held += n
+        while held - words[start] > long_words:
+            held -= words[start]
+            start += 1
+        if held > long_words:
+            spans.add((start, end))
+    end, held = 0, 0
+    for start, n in enumerate(words):
+        while end < len(words) and held <= long_words:
+            held += words[end]
+            end += 1
+        if held > long_words:
+            spans.add((start, end - 1))
+        held -= n
+    return [
+        (xxhash.xxh3_64_intdigest("\n".join(x for _, x in real[s : e + 1]).encode("utf-8", "surrogatepass")), [i for i, _ in real[s : e + 1]])
+        for s, e in sorted(spans)
+        if s < e
+    ]
+
+
+def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """``doc_key, pos`` of the lines in runs that an earlier place has too."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, i, h - 2**63, at) for k, i, t in zip(*(c.to_pylist() for c in batch.columns)) for h, at in shortest_runs(t, long_words)]
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_key", "doc_id", "run", "at"])
+
+    reach_workers(docs.sparkSession)
+    rows = docs.select(row_key("doc_id", "text").alias("doc_key"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "text")
+    found = materialise(rows.mapInArrow(run, "doc_key bigint, doc_id bigint, run bigint, at array<int>"))
+    place = F.struct("doc_id", "doc_key", F.col("at")[0].alias("pos"))
+    gone = materialise(
+        found.groupBy("run")
+        .agg(F.min(place).alias("first"), F.min("doc_key").alias("low"), F.max("doc_key").alias("high"))
+        .where("low < high")
+        .select("run", "first")
+    )
+    later = found.join(gone, "run").where((F.col("doc_key") != F.col("first.doc_key")) | (F.col("at")[0] != F.col("first.pos")))
+    return later.select("doc_key", F.explode("at").alias("pos"))
+
+
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """``doc_key, gone`` (places of lines to remove), for documents with any."""
     found = materialise(lines(docs))
     gone = materialise(spread(found, min_sites, long_words))
-    return (
+    places = (
         found.join(gone, "line")
         .where((F.col("doc_key") != F.col("first.doc_key")) | (F.col("pos") != F.col("first.pos")))
-        .groupBy("doc_key")
-        .agg(F.collect_set("pos").alias("gone"))
+        .select("doc_key", "pos")
     )
+    if runs:
+        places = places.union(repeated_runs(docs, long_words))
+    return places.groupBy("doc_key").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """``docs`` with those lines removed from ``text``, and two columns added:
     ``n_lines__`` and ``n_removed__``. All rows stay."""
     # texts are shuffled at every size; a broadcast of the places has no bound
-    gone = materialise(removals(docs, min_sites, long_words)).toDF("doc_key__", "gone__").hint("merge")
+    gone = materialise(removals(docs, min_sites, long_words, runs)).toDF("doc_key__", "gone__").hint("merge")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("gone__", i))
     return (
