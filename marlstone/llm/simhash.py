@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reach_workers
-from .common import LOWER, UPPER, materialise
+from .common import LOWER, UPPER, materialise, row_key
 from .components import components
 
 BITS = 64
@@ -147,11 +147,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, bucket: i
 
 
 def keep_first(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
-    """One document of each component: the smallest ``doc_id``. Rows with a null
-    id stay. Of rows repeated as a whole one stays."""
-    stay = near_duplicates(docs, size, distance).select("component_id").where("component_id is not null").distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["component_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each component: the smallest ``doc_id``, then row key. Rows
+    with a null id stay. Of rows with equal id and text one stays."""
+    named = docs.where("doc_id is not null")
+    row = F.struct("doc_id", row_key("doc_id", "text").alias("doc_key"))
+    prints = materialise(fingerprints(named.select(row.alias("doc_id"), "text"), size))
+    # components of fingerprints, as an id can stand on several of them
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("row")))
+    found = components(materialise(links(distinct.select("fp", F.col("fp").alias("rep")), distance)))
+    stay = (
+        distinct.join(found, distinct.fp == found.node, "left")
+        .groupBy(F.coalesce("component", "fp").alias("c"))
+        .agg(F.min("row").alias("row"))
+        .select(F.col("row.doc_id").alias("doc_id__"), F.col("row.doc_key").alias("doc_key__"))
+    )
+    key = (F.col("doc_id") == F.col("doc_id__")) & (row_key("doc_id", "text") == F.col("doc_key__"))
+    kept = named.join(materialise(stay), key, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def as_hex(fp: Column) -> Column:
