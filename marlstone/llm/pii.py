@@ -97,7 +97,7 @@ _TRIM = ".,;:!?\"'|"
 def shape(word: str) -> str:
     """Letters as x or X, digits as d, runs of letters cut to one and of digits to five."""
     out = []
-    for c in word[:80]:
+    for c in word:
         k = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         n = 0
         while n < len(out) and out[-1 - n] == k:
