@@ -5,10 +5,10 @@ HyperLogLog sketch of the sites is aggregated (partial sketches merge on the map
 side, so a line that a third of all rows holds costs one sketch per task). Lines
 whose estimate lies near the threshold get an exact distinct count; only the
 estimates far from it decide by themselves. A line of ``min_sites`` sites or
-more is boilerplate; a long line, of more than ``long_words`` words, is a
-repeated passage as soon as two documents hold it. The first occurrence of each
-(smallest ``doc_id``, then place) stays, so that no text leaves the corpus.
-With ``runs``, consecutive lines that together hold more than ``long_words`` words
+more is boilerplate (:func:`spread`). Beside it stands a rule of its own: a line
+of more than ``long_words`` words is a repeated passage as soon as two documents
+hold it (:func:`passages`). The first occurrence of each (smallest ``doc_id``,
+then place) stays, so that no text leaves the corpus. With ``runs``, consecutive lines that together hold more than ``long_words`` words
 and stand in two documents are a passage too: from each line on, and back from
 each, the shortest run of so many words is hashed, and such runs cover every
 longer one. Blank lines inside a run don't count. A line goes only where an
@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reach_workers
-from .common import materialise, row_key
+from .common import materialise, row_key, unused
 
 MIN_SITES = 8
 LONG_WORDS = 50
+#: Keys that hold this fraction of all rows are joined by broadcast.
+HOT = 4096
 #: Relative distance from the threshold within which sites are counted exactly.
 NEAR = 0.35
 LG_K = 12
@@ -60,10 +62,10 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def spread(found: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS) -> DataFrame:
-    """Lines to remove: ``line, first`` (struct ``doc_id, doc_key, pos`` of the
-    occurrence that stays)."""
-    sketched = materialise(
+def line_table(found: DataFrame) -> DataFrame:
+    """Per line that occurs more than once: ``line, n, sites`` (estimate)``, words,
+    low, high`` (row keys)``, first`` (struct ``doc_id, doc_key, pos``)."""
+    return (
         found.groupBy("line")
         .agg(
             F.hll_sketch_agg("site", LG_K).alias("sketch"),
@@ -74,26 +76,43 @@ def spread(found: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_
             F.min("doc_key").alias("low"),
         )
         .where("n > 1")
-        .select(
-            "line",
-            "first",
-            F.hll_sketch_estimate("sketch").alias("sites"),
-            ((F.col("words") > long_words) & (F.col("low") < F.col("high"))).alias("passage"),
-        )
+        .withColumn("sites", F.hll_sketch_estimate("sketch"))
+        .drop("sketch")
     )
-    sure = sketched.where(F.col("passage") | (F.col("sites") > min_sites * (1 + NEAR))).select("line", "first")
-    near = sketched.where(
-        ~F.col("passage") & F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR))
-    ).select("line", "first")
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``keyed``, whose column ``n`` says in how many rows each
+    key stands. Keys that hold ``1/HOT`` of all rows or more are at most ``HOT``,
+    whatever the input, and are broadcast, so that none of them lands in one task."""
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often = F.col(n) * HOT >= total
+    hot, rest = keyed.where(often).drop(n), keyed.where(~often).drop(n)
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+
+
+def spread(found: DataFrame, counted: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Lines on ``min_sites`` sites or more: ``line, n, first`` (the occurrence
+    that stays)."""
+    sites, out = F.col("sites"), ["line", "n", "first"]
+    sure = counted.where(sites > min_sites * (1 + NEAR)).select(*out)
+    near = counted.where(sites.between(min_sites * (1 - NEAR), min_sites * (1 + NEAR)))
     exact = (
-        found.join(near.select("line"), "line", "left_semi")
+        join_hot(found.select("line", "site"), near.select("line", "n"), "line")
         .groupBy("line", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("sites"))
-        .where(F.col("sites") >= min_sites)
+        .agg(F.count(F.lit(1)).alias("exact"))
+        .where(F.col("exact") >= min_sites)
     )
-    return sure.union(near.join(exact.select("line"), "line"))
+    return sure.union(near.join(exact, "line").select(*out))
+
+
+def passages(counted: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """Lines of more than ``long_words`` words in two documents or more, as
+    :func:`spread` gives them. A rule of its own, beside the spread over sites."""
+    return counted.where((F.col("words") > long_words) & (F.col("low") < F.col("high"))).select("line", "n", "first")
 
 
 def shortest_runs(text: str | None, long_words: int = LONG_WORDS) -> list[tuple[int, list[int]]]:
@@ -140,20 +159,21 @@ def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     place = F.struct("doc_id", "doc_key", F.col("at")[0].alias("pos"))
     gone = materialise(
         found.groupBy("run")
-        .agg(F.min(place).alias("first"), F.min("doc_key").alias("low"), F.max("doc_key").alias("high"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("doc_key").alias("low"), F.max("doc_key").alias("high"))
         .where("low < high")
-        .select("run", "first")
+        .select("run", "n", "first")
     )
-    later = found.join(gone, "run").where((F.col("doc_key") != F.col("first.doc_key")) | (F.col("at")[0] != F.col("first.pos")))
+    later = join_hot(found, gone, "run").where((F.col("doc_key") != F.col("first.doc_key")) | (F.col("at")[0] != F.col("first.pos")))
     return later.select("doc_key", F.explode("at").alias("pos"))
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """``doc_key, gone`` (places of lines to remove), for documents with any."""
     found = materialise(lines(docs))
-    gone = materialise(spread(found, min_sites, long_words))
+    counted = materialise(line_table(found))
+    gone = materialise(spread(found, counted, min_sites).union(passages(counted, long_words)).distinct())
     places = (
-        found.join(gone, "line")
+        join_hot(found.select("doc_key", "pos", "line"), gone, "line")
         .where((F.col("doc_key") != F.col("first.doc_key")) | (F.col("pos") != F.col("first.pos")))
         .select("doc_key", "pos")
     )
@@ -162,19 +182,26 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG
     return places.groupBy("doc_key").agg(F.collect_set("pos").alias("gone"))
 
 
+def _without(parts: Column, gone: Column) -> Column:
+    """``parts`` less the places in ``gone``, in time linear in both: what lies
+    between neighbouring places is sliced out of the lines split once."""
+    lo, hi = F.concat(F.array(F.lit(-1)), F.array_sort(gone)), F.concat(F.array_sort(gone), F.array(F.size(parts)))
+    return F.get(F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(lo, hi, lambda a, b: F.slice(p, a + 2, b - a - 1)))), F.lit(0))
+
+
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
     """``docs`` with those lines removed from ``text``, and two columns added:
-    ``n_lines__`` and ``n_removed__``. All rows stay."""
+    ``n_lines__`` and ``n_removed__`` (an input that has them raises). All rows
+    and all other columns stay."""
+    added = ["n_lines__", "n_removed__"]
+    if clash := [c for c in added if c in docs.columns]:
+        raise ValueError(f"the input has {', '.join(clash)}")
+    key, gone = unused(docs, "doc_key"), unused(docs, "gone")
     # texts are shuffled at every size; a broadcast of the places has no bound
-    gone = materialise(removals(docs, min_sites, long_words, runs)).toDF("doc_key__", "gone__").hint("merge")
+    places = materialise(removals(docs, min_sites, long_words, runs)).toDF(key, gone).hint("merge")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone__", i))
-    return (
-        docs.withColumn("doc_key__", row_key("doc_id", "text"))
-        .join(gone, "doc_key__", "left")
-        .withColumn("n_lines__", F.coalesce(F.size(F.when(F.col("text").isNotNull(), parts)).cast("long"), F.lit(0)))
-        .withColumn("n_lines__", F.greatest("n_lines__", F.lit(0)))
-        .withColumn("n_removed__", F.when(F.col("gone__").isNull(), 0).otherwise(F.size("gone__")).cast("long"))
-        .withColumn("text", F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("doc_key__", "gone__")
-    )
+    count = F.when(F.col("text").isNotNull(), F.size(parts)).otherwise(0).cast("long")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_without(parts, F.col(gone)), "\n"))
+    joined = docs.withColumn(key, row_key("doc_id", "text")).join(places, key, "left")
+    removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], count.alias(added[0]), removed.alias(added[1]))

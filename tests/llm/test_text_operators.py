@@ -91,7 +91,7 @@ def test_lines(spark):
 def test_near_threshold_is_exact(spark):
     rows = [(100 * n + i, f"line {n}", f"s{i}") for n in range(3, 14) for i in range(n)]
     found = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    assert line_dedup.spread(found).count() == sum(n >= line_dedup.MIN_SITES for n in range(3, 14))
+    assert line_dedup.spread(found, line_dedup.line_table(found)).count() == sum(n >= line_dedup.MIN_SITES for n in range(3, 14))
 
 
 # --- token counts
