@@ -19,13 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, row_key
+from .common import ascii_lower, materialise, row_key, unused
 
 WINDOW = 13
 RARE_TERMS = 2
 #: What separates words: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _split(text: Column) -> Column:
@@ -203,7 +202,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         .agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
     )
     found = hits.join(names, "doc_key")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    words = F.size(_split(F.col("text"))).cast("long")
     none = F.coalesce("n_hit", F.lit(0).cast("long"))
     return docs.select("doc_id", "doc_key", words.alias("n_words")).join(found, "doc_key", "left").select(
         "doc_id",
@@ -219,5 +218,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, columns unchanged."""
     bad = contamination(docs, items).where("contaminated").select("doc_key").distinct()
-    key = row_key("doc_id", "text")
-    return docs.withColumn("doc_key__", key).join(bad.withColumnRenamed("doc_key", "doc_key__"), "doc_key__", "left_anti").drop("doc_key__")
+    key = unused(docs, "doc_key")
+    return docs.withColumn(key, row_key("doc_id", "text")).join(bad.withColumnRenamed("doc_key", key), key, "left_anti").drop(key)
