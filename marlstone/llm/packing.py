@@ -3,17 +3,19 @@
 Documents become pieces of at most ``length`` tokens. Full pieces are sequences
 of their own; the others are dealt into shards of about ``SHARD`` pieces, so
 that a task's work is bounded whatever the input. A shard is solved on several
-islands: each evolves a small population whose crossover injects whole
-well-filled bins of one parent into the other, drops the bins that held one of
-those pieces before, and best-fits the displaced pieces; then elites migrate to
-the next island, the islands evolve again, and the best result counts. Bins that
-stay badly filled are dissolved and their pieces packed once more, over fewer
-shards. A shard whose bins reach the bound (total tokens over the length) ends
-at once.
+islands: each evolves a population whose crossover injects whole well-filled
+bins of one parent into the other, drops the bins that held one of those pieces
+before, and best-fits the displaced pieces; then elites migrate to the next
+island, the islands evolve again, and the best result counts. Bins that stay
+badly filled are dissolved and their pieces packed once more over fewer shards,
+until one is left. The first individual is plain best fit; a shard where it
+reaches the bound (total tokens over the length, one bin more while badly filled
+ones go on to another level) is done at once and nothing evolves.
 
 Defined cases: a null or empty text is one piece, the separator alone; a null
-``doc_id`` is carried; repeated rows are packed each; an empty table gives an
-empty result.
+``doc_id`` is carried; repeated rows are packed each; among equal pieces any order
+counts as good, and the one chosen depends on their running number alone; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +38,10 @@ from .tokens import ByteBpe
 
 LENGTH = 2048
 SHARD = 8192
-ISLANDS = 2
-POPULATION = 4
-GENERATIONS = 3
+ISLANDS = 3
+POPULATION = 24
+GENERATIONS = 40
+PATIENCE = 12
 #: Bins below this share of the length are dissolved and packed again.
 WELL_FILLED = 0.98
 SEPARATOR = 0
@@ -130,24 +133,29 @@ def fitness(bins: Bins) -> tuple[int, float]:
     return len(bins.room), -sum((bins.length - r) ** 2 for r in bins.room)
 
 
-def crossover(a: Bins, b: Bins, sizes, rnd: random.Random) -> Bins:
-    """Well-filled bins of ``b`` go whole into ``a``."""
-    order = sorted(range(len(b.room)), key=b.room.__getitem__)
+def _refill(bins: Bins, loose: list[int], sizes, rnd: random.Random, blur: int) -> Bins:
+    """Displaced pieces by best fit, longest first but for a random blur."""
+    for i in sorted(loose, key=lambda i: (-sizes[i] + (rnd.randrange(blur) if blur else 0), i)):
+        bins.put(i, sizes[i])
+    return bins
+
+
+def crossover(a: Bins, b: Bins, sizes, rnd: random.Random, blur: int = 0) -> Bins:
+    """Well-filled bins of ``b`` go whole into ``a``; bins of ``a`` that hold one of
+    their pieces go, and what else those held is fitted anew."""
+    order = sorted(range(len(b.room)), key=lambda x: (b.room[x], rnd.random()))
     good = order[: max(1, len(order) // 2)]
     taken = [x for x in good if rnd.random() < 0.6] or good[:1]
     held = {i for x in taken for i in b.items[x]}
-    child = Bins(a.length)
+    child, loose = Bins(a.length), []
     for x in taken:
         child.add_bin(list(b.items[x]), b.room[x])
-    loose = []
     for items, room in zip(a.items, a.room):
         if held.isdisjoint(items):
             child.add_bin(list(items), room)
         else:
             loose.extend(i for i in items if i not in held)
-    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
-        child.put(i, sizes[i])
-    return child
+    return _refill(child, loose, sizes, rnd, blur)
 
 
 def mutate(bins: Bins, sizes, rnd: random.Random, share: float = 0.05) -> Bins:
@@ -160,35 +168,35 @@ def mutate(bins: Bins, sizes, rnd: random.Random, share: float = 0.05) -> Bins:
             loose.extend(items)
         else:
             out.add_bin(list(items), room)
-    rnd.shuffle(loose)
-    for i in sorted(loose, key=lambda i: -sizes[i] + rnd.randrange(64)):
-        out.put(i, sizes[i])
-    return out
+    return _refill(out, loose, sizes, rnd, rnd.choice((0, 64, bins.length // 4)))
 
 
-def evolve(sizes: list[int], start: list[Bins], seed: int, length: int = LENGTH) -> Bins:
-    """Best individual of one island's epoch."""
-    bound = -(-sum(sizes) // length)
+def evolve(sizes: list[int], start: list[Bins], seed: int, length: int = LENGTH, population: int = POPULATION, generations: int = GENERATIONS, slack: int = 0) -> Bins:
+    """Best individual of one island's epoch. It ends early where the bound (all
+    tokens over the length, and ``slack`` more) is reached, or after ``PATIENCE`` generations in vain."""
+    bound = -(-sum(sizes) // length) + slack
     rnd = random.Random(seed)
     by_size = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     people = list(start) or [best_fit(sizes, length, by_size)]
     best = min(people, key=fitness)
-    if len(best.room) == bound:
+    if len(best.room) <= bound:
         return best
-    while len(people) < POPULATION:
-        near = sorted(by_size, key=lambda i: -sizes[i] + rnd.randrange(256))
-        people.append(best_fit(sizes, length, near))
-    for _ in range(GENERATIONS):
+    while len(people) < population:
+        people.append(_refill(Bins(length), by_size, sizes, rnd, length // (2 + len(people) % 8)))
+    vain = 0
+    for _ in range(generations):
         people.sort(key=fitness)
-        if len(people[0].room) == bound:
+        children = [mutate(people[k], sizes, rnd) for k in range(max(1, population // 6))]
+        while len(children) < population // 2:
+            # tournaments of two choose the parents
+            a, b = (people[min(rnd.randrange(len(people)), rnd.randrange(len(people)))] for _ in range(2))
+            children.append(crossover(a, b, sizes, rnd, rnd.choice((0, 32, length // 8))) if a is not b else mutate(a, sizes, rnd))
+        people = sorted(people[: population - len(children)] + children, key=fitness)
+        vain = 0 if fitness(people[0]) < fitness(best) else vain + 1
+        best = min(best, people[0], key=fitness)
+        if len(best.room) <= bound or vain >= PATIENCE:
             break
-        half = people[: max(2, POPULATION // 2)]
-        children = [mutate(half[0], sizes, rnd)]
-        while len(half) + len(children) < POPULATION:
-            a, b = rnd.sample(half, 2)
-            children.append(crossover(a, b, sizes, rnd))
-        people = half + children
-    return min(people, key=fitness)
+    return best
 
 
 def _rebuilt(sizes: list[int], bin_of: np.ndarray, length: int) -> Bins:
@@ -201,14 +209,14 @@ def _rebuilt(sizes: list[int], bin_of: np.ndarray, length: int) -> Bins:
     return out
 
 
-def _epoch(length: int, first: bool):
+def _epoch(length: int, first: bool, slack: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(pdf.shard.iloc[0]), int(pdf.island.iloc[0])
         pdf = pdf.sort_values(["origin", "uid"])
         groups = [g for _, g in pdf.groupby("origin", sort=True)]
         uid, sizes = groups[0].uid.to_numpy(), groups[0].length.tolist()
         start = [] if first else [_rebuilt(sizes, g.bin.to_numpy(), length) for g in groups]
-        best = evolve(sizes, start, shard * 1009 + island * 2 + first, length)
+        best = evolve(sizes, start, shard * 1009 + island * 2 + first, length, slack=slack)
         bin_of, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for b, items in enumerate(best.items):
             at = 0
@@ -216,32 +224,36 @@ def _epoch(length: int, first: bool):
                 bin_of[i], offset[i] = b, at
                 at += sizes[i]
         n, fit = fitness(best)
+        solved = n <= -(-sum(sizes) // length) + slack
         room = np.array(best.room, np.int64)
         return pd.DataFrame(
-            {"shard": shard, "island": island, "uid": uid, "length": sizes, "bin": bin_of, "offset": offset, "fill": length - room[bin_of], "bins": n, "fit": float(fit)}
+            {"shard": shard, "island": island, "uid": uid, "length": sizes, "bin": bin_of, "offset": offset, "fill": length - room[bin_of], "bins": n, "fit": float(fit), "solved": solved}
         )
 
     return run
 
 
-_SOLVED = "shard bigint, island int, uid bigint, length bigint, bin bigint, offset bigint, fill bigint, bins bigint, fit double"
+_SOLVED = "shard bigint, island int, uid bigint, length bigint, bin bigint, offset bigint, fill bigint, bins bigint, fit double, solved boolean"
 
 
-def solve(items: DataFrame, count: int, length: int = LENGTH, islands: int = ISLANDS) -> DataFrame:
+def solve(items: DataFrame, count: int, length: int = LENGTH, islands: int = ISLANDS, slack: int = 0) -> DataFrame:
     """``items(uid, length)`` -> ``shard, uid, length, bin, offset, fill``."""
     reach_workers(items.sparkSession)
     shards = -(-count // SHARD)
     dealt = items.select((F.pmod(F.xxhash64("uid"), F.lit(shards))).alias("shard"), "uid", "length")
     own = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
     own = own.withColumn("origin", F.col("island")).withColumn("bin", F.lit(0).cast("long"))
-    one = materialise(own.groupBy("shard", "island").applyInPandas(_epoch(length, True), _SOLVED))
-    # each elite stays and goes to the next island
-    moved = one.select(
+    one = materialise(own.groupBy("shard", "island").applyInPandas(_epoch(length, True, slack), _SOLVED))
+    # each elite of an unsolved shard stays and goes to the next island
+    solved = one.groupBy("shard").agg(F.max("solved").alias("any")).where("any").select("shard")
+    open_ = one.join(solved, "shard", "left_anti")
+    moved = open_.select(
         "shard", F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)))).alias("to"), F.col("island").alias("origin"), "uid", "length", "bin"
     ).withColumnRenamed("to", "island")
-    two = materialise(moved.groupBy("shard", "island").applyInPandas(_epoch(length, False), _SOLVED))
-    best = two.groupBy("shard").agg(F.min(F.struct("bins", "fit", "island")).alias("best"))
-    return two.join(best.select("shard", F.col("best.island").alias("island")), ["shard", "island"]).select(
+    two = materialise(moved.groupBy("shard", "island").applyInPandas(_epoch(length, False, slack), _SOLVED))
+    ended = two.unionByName(one.join(solved, "shard", "left_semi"))
+    best = ended.groupBy("shard").agg(F.min(F.struct("bins", "fit", "island")).alias("best"))
+    return ended.join(best.select("shard", F.col("best.island").alias("island")), ["shard", "island"]).select(
         "shard", "uid", "length", "bin", "offset", "fill"
     )
 
@@ -250,21 +262,19 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, islands: int = ISLAND
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     cut_up = materialise(pieces(docs, path, length))
     small = cut_up.where(F.col("length") < length).select("uid", "length")
-    parts, count = [], small.count()
-    for level in (1, 2):
-        if not count:
-            break
-        done = materialise(solve(small, count, length, islands))
+    parts, count, level = [], small.count(), 0
+    while count:
+        level, shards = level + 1, -(-count // SHARD)
+        done = materialise(solve(small, count, length, islands, slack=int(shards > 1)))
         poor = F.col("fill") < int(WELL_FILLED * length)
-        name = F.lit(level << 60) + F.shiftleft(F.col("shard"), 20) + F.col("bin")
+        name = F.lit(level << 58) + F.shiftleft(F.col("shard"), 20) + F.col("bin")
         placed = done.select("uid", name.alias("sequence_id"), "offset", "fill", "length")
         small = placed.where(poor).select("uid", "length")
-        left = small.count()
-        if level == 2 or not left or -(-left // SHARD) >= -(-count // SHARD):
-            parts.append(placed)
-            break
-        parts.append(placed.where(~poor))
-        count = left
+        left = small.count() if shards > 1 else 0
+        # badly filled bins stay where packing them again can't bring more of them together
+        again = 0 < left <= (shards - 1) * SHARD
+        parts.append(placed.where(~poor) if again else placed)
+        count = left if again else 0
     full = cut_up.where(F.col("length") == length).select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

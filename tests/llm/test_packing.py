@@ -54,6 +54,41 @@ def test_evolution_keeps_items_and_improves(seed):
     assert sorted(i for items in child.items for i in items) == list(range(300))
 
 
+def triplets(k, rnd):
+    """Pieces that three by three fill bins without waste."""
+    out = []
+    for _ in range(k):
+        a = rnd.randint(780, 1000)
+        b = rnd.randint((2048 - a) // 2, min(2048 - a - 400, a))
+        out += [a, b, 2048 - a - b]
+    rnd.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_evolution_needs_fewer_bins_than_best_fit(seed):
+    rnd = random.Random(seed)
+    for sizes in (triplets(40, rnd), [rnd.randint(300, 1300) for _ in range(1500)]):
+        best = packing.evolve(sizes, [], seed)
+        assert sorted(i for items in best.items for i in items) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in items) <= 2048 for items in best.items)
+        assert len(best.room) < len(packing.best_fit(sizes, 2048, sorted(range(len(sizes)), key=lambda i: -sizes[i])).room)
+
+
+def test_islands_and_levels(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 60)
+    monkeypatch.setattr(packing, "GENERATIONS", 5)
+    rnd = random.Random(1)
+    sizes = triplets(20, rnd) + [rnd.randint(1, 900) for _ in range(200)] + [500] * 30  # ties too
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
+    for slack in (0, 1):
+        got = packing.solve(items, len(sizes), slack=slack).toPandas()
+        assert sorted(got.uid) == list(range(len(sizes))) and got.groupby(["shard", "bin"]).length.sum().max() <= 2048
+        assert (got.groupby(["shard", "bin"]).length.sum() == got.groupby(["shard", "bin"]).fill.first()).all()
+        for _, g in got.sort_values("offset").groupby(["shard", "bin"]):
+            assert (g.offset.to_numpy() == g.length.cumsum().to_numpy() - g.length.to_numpy()).all()
+
+
 def test_pack(spark, library, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 40)
     rnd = random.Random(2)
