@@ -1,14 +1,18 @@
-"""Near copies by Jaccard similarity of word shingles.
-
-Each distinct shingle set has ``BANDS`` band keys of ``ROWS`` minhashes; sets that
-share a key are candidates and every candidate pair is verified on the whole
-sets. At similarity 0.8 a pair shares no key with probability 5e-8. Equal sets
-take part once. Buckets up to a limit are paired whole. In larger ones all
-members are verified against one of them, components are found over all buckets,
-and buckets that still hold more than one component come again with another such
-member and twice the limit; pairs inside a component aren't verified. So each
-bucket ends either in one component or with all its pairs between components
-verified, and the pairs of a large group of copies stay linear in its size.
+"""Near copies by word shingles, the SimHash operator at Jaccard similarity 0.8.
+
+Links come from the deletion-variant signatures of :mod:`simhash` over the distinct
+five-word shingles, each verified on the whole sets. Two texts of similarity 0.8
+differ in about ten of 64 bits, too many for those signatures, so that most links
+are found by another method, which completes the first: each distinct shingle set
+has ``BANDS`` band keys of ``ROWS`` minhashes; sets that share a key are candidates
+and every candidate pair is verified. At similarity 0.8 a pair shares no key with
+probability 5e-8. Equal sets take part once. Buckets up to a limit are paired
+whole. In larger ones all members are verified against one of them, components are
+found over all buckets, and buckets that still hold more than one component come
+again with another such member and twice the limit; pairs inside a component
+aren't verified. So each bucket ends either in one component or with all its pairs
+between components verified, and the pairs of a large group of copies stay linear
+in its size.
 
 Defined cases: null, empty and blank texts have no words and are copies of each
 other; texts of fewer words than a shingle are one shingle; rows with a null
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reach_workers
+from . import simhash
 from .common import LOWER, UPPER, materialise, row_key
 from .components import components
 
@@ -33,6 +38,8 @@ SIMILAR = 0.8
 BANDS = 32
 ROWS = 4
 BUCKET = 32
+#: Bits in which the signatures' candidates may differ.
+BITS = 3
 SEED = 42
 #: Over rounding in products with the similarity.
 EPS = 1e-9
@@ -69,23 +76,25 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, doc_key, id`` (of the shingle set)``, n`` (shingles)``, bands``."""
+    """``doc_id, doc_key, id`` (of the shingle set)``, n`` (shingles)``, bands, fp``."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, keys, fps = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text, size)
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 keys.append(bands(found) if len(found) else [])
+                fps.append(simhash.majority(found))
             columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "doc_key", "id", "n", "bands"])
+            columns.append(pa.array(np.array(fps, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "doc_key", "id", "n", "bands", "fp"])
 
     reach_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, doc_key bigint, id bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, doc_key bigint, id bigint, n bigint, bands array<bigint>, fp bigint")
 
 
 def _sets(docs: DataFrame, first: DataFrame, size: int) -> DataFrame:
@@ -120,18 +129,32 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
-    """``first(id, doc_key, n, bands)``, ids distinct -> similar pairs ``u, v``."""
+def _placed(rest: DataFrame, edges: DataFrame) -> DataFrame:
+    """``band, id, n, comp``: members of buckets with their component so far."""
+    known = components(edges)
+    joined = rest.select("band", "id", "n").join(known, F.col("id") == F.col("node"), "left")
+    return materialise(joined.select("band", "id", "n", F.coalesce("component", "id").alias("comp")))
+
+
+def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float = SIMILAR, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
+    """``first(id, doc_key, n, bands, fp)``, ids distinct -> similar pairs ``u, v``."""
+
+    def fits(x, y):
+        return F.least(x, y) + EPS >= similar * F.greatest(x, y)
+
     index = first.select("id", "n", F.explode("bands").alias("band"))
     often = index.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rest = materialise(index.join(often.select("band"), "band"))
-    wanted = rest.select("id").distinct()
+    # by signature: equal fingerprints through the smallest id, then the links between fingerprints
+    worded = first.where("n > 0").select("id", "n", "fp")
+    least = materialise(worded.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("rep")).select("fp", "rep.id", "rep.n"))
+    same = worded.join(least.select("fp", F.col("id").alias("v"), F.col("n").alias("m")), "fp").where((F.col("id") != F.col("v")) & fits(F.col("n"), F.col("m")))
+    signed = simhash.links(least.select("fp", F.col("id").alias("rep")), bits).union(same.select(F.col("id").alias("u"), "v"))
+    signed = materialise(signed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    wanted = rest.select("id").union(signed.select("u")).union(signed.select("v")).distinct()
     sets = materialise(_sets(docs, first.select("id", "doc_key").join(wanted, "id"), size))
-    rest = rest.withColumn("comp", F.col("id"))
-    edges, turn = None, 0
-
-    def fits(x, y):
-        return F.least(x, y) + EPS >= similar * F.greatest(x, y)
+    edges, turn = materialise(verified(signed, sets, similar)), 0
+    rest = _placed(rest, edges)
 
     while True:
         some = F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "n", "comp")
@@ -144,12 +167,10 @@ def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float =
         stars = heavy.where((F.col("comp") != F.col("low.comp")) & fits(F.col("n"), F.col("low.n"))).select(
             F.least("id", "low.id").alias("u"), F.greatest("id", "low.id").alias("v")
         )
-        found = materialise(verified(pairs.union(stars).distinct(), sets, similar))
-        edges = found if edges is None else edges.union(found)
+        edges = edges.union(materialise(verified(pairs.union(stars).distinct(), sets, similar)))
         if heavy.isEmpty():
             return edges
-        known = components(edges)
-        rest = materialise(heavy.select("band", "id", "n").join(known, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("comp")))
+        rest = _placed(heavy, edges)
         bucket, turn = 2 * bucket, turn + 1
 
 
@@ -160,8 +181,8 @@ def keep_first(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR, buck
     rows = materialise(prints(named, size))
     best = F.min(F.struct("doc_id", "doc_key"))
     first = materialise(
-        rows.groupBy("id").agg(best.alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands")).select(
-            "id", "best", F.col("best.doc_key").alias("doc_key"), "n", "bands"
+        rows.groupBy("id").agg(best.alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).select(
+            "id", "best", F.col("best.doc_key").alias("doc_key"), "n", "bands", "fp"
         )
     )
     found = components(materialise(links(named, first.drop("best"), size, similar, bucket)))

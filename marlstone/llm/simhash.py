@@ -62,6 +62,11 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(total * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of these shingle hashes."""
+    return int.from_bytes(np.packbits(_ones(hashes) * 2 > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id, fp`` (64 bits as a signed long), one row per document row."""
 
