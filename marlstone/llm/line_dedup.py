@@ -189,11 +189,10 @@ def _without(parts: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(lo, hi, lambda a, b: F.slice(p, a + 2, b - a - 1)))), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS, runs: bool = False) -> DataFrame:
-    """``docs`` with those lines removed from ``text``, and two columns added:
-    ``n_lines__`` and ``n_removed__`` (an input that has them raises). All rows
-    and all other columns stay."""
-    added = ["n_lines__", "n_removed__"]
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_words: int = LONG_WORDS, runs: bool = False, added: tuple[str, str] = ("n_lines__", "n_removed__")) -> DataFrame:
+    """``docs`` with those lines removed from ``text``, and two columns ``added``:
+    how many lines a text had and how many of them went. Names that the input has
+    raise. All rows and all other columns stay."""
     if clash := [c for c in added if c in docs.columns]:
         raise ValueError(f"the input has {', '.join(clash)}")
     key, gone = unused(docs, "doc_key"), unused(docs, "gone")

@@ -3,9 +3,10 @@
 Patterns give the base spans: e-mail and IP addresses, card and phone numbers.
 A CRF over word shapes, trained from the small labelled table below, adds spans
 that the patterns don't cover (phone numbers without a plus sign, numbers of
-identity papers, bank accounts, masked addresses). It reads sequences of words
-around those that hold a digit or an @; every other word is outside by
-definition. Sequences of equal length are decoded together by Viterbi in numpy.
+identity papers, bank accounts, masked addresses, names behind a title). Its sequences are all sentences of the whole text. Sentences where no
+path can beat the one that finds nothing, by a bound on the scores of their words
+(:class:`Reader`), are settled by that; the others are decoded by Viterbi in numpy,
+those of equal length together.
 
 Defined cases: null and empty texts have no spans; an added span that overlaps a
 base span is dropped, base spans stay; repeated rows are judged alike; an empty
@@ -17,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from ..session import reach_workers
 
-KINDS = ("email", "ip", "card", "phone", "account", "ident")
+KINDS = ("email", "ip", "card", "phone", "account", "ident", "name")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -86,12 +89,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- the field
 
-#: Words on either side of a word with a digit or an @ that a sequence takes in.
-AROUND = 3
 # Words that announce personal data.
 CUES = ("tel", "phone", "call", "fax", "mobile", "telefon", "anruf", "téléphone", "teléfono", "ssn", "iban", "account", "konto", "compte", "cuenta",
-        "passport", "id", "nr", "no", "number", "mail", "email", "e-mail", "at", "card", "karte", "carte", "tarjeta", "version", "token", "key", "page", "year")
+        "passport", "id", "nr", "no", "number", "mail", "email", "e-mail", "at", "card", "karte", "carte", "tarjeta", "version", "token", "key", "page", "year",
+        "mr", "mrs", "ms", "dr", "herr", "frau", "señor", "señora", "madame", "monsieur", "name", "contact",)
 _TRIM = ".,;:!?\"'|"
+_CUES = frozenset(CUES)
 
 
 def shape(word: str) -> str:
@@ -107,26 +110,35 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def own_features(word: str) -> tuple[str, str, list[str]]:
+    """Shape, cue (or the empty text) and features of a word by itself."""
+    w = word.strip(_TRIM)
+    s = "x" if w.isalpha() and w.islower() else shape(w)
+    digits = 0 if s == "x" else sum(c.isdigit() for c in w)
+    f = ["s=" + s, f"d={min(digits, 20)}", f"a={digits and digits == len(w)}{min(len(w), 20)}"]
+    if 13 <= digits <= 19 and digits == len(w) and w.isascii():
+        f.append(f"luhn={luhn(w)}")
+    low = w.lower()
+    cue = low if low in _CUES else ""
+    if cue:
+        f.append("c=" + cue)
+    if not digits and "@" not in w:
+        f.append("plain")
+    return s, cue, f
+
+
 def word_features(words: list[str]) -> list[list[str]]:
-    bare = [w.strip(_TRIM) for w in words]
-    shapes = [shape(w) for w in bare]
+    """Features of each word of a sequence, those of its neighbours included."""
+    own = [own_features(w) for w in words]
     out = []
-    for i, (w, s) in enumerate(zip(bare, shapes)):
-        before = shapes[i - 1] if i else "<"
-        after = shapes[i + 1] if i + 1 < len(shapes) else ">"
-        digits = sum(c.isdigit() for c in w)
-        f = ["s=" + s, "p=" + before + "|" + s, "n=" + s + "|" + after, f"d={min(digits, 20)}", f"a={digits and digits == len(w)}{min(len(w), 20)}"]
-        if 13 <= digits <= 19 and digits == len(w) and w.isascii():
-            f.append(f"luhn={luhn(w)}")
-        low = w.lower()
-        if low in CUES:
-            f.append("c=" + low)
-        if i and (cue := bare[i - 1].lower()) in CUES:
-            f.append("c1=" + cue)
-        if i > 1 and (cue := bare[i - 2].lower()) in CUES:
-            f.append("c2=" + cue)
-        if not digits and "@" not in w:
-            f.append("plain")
+    for i, (s, _, f) in enumerate(own):
+        before = own[i - 1][0] if i else "<"
+        after = own[i + 1][0] if i + 1 < len(own) else ">"
+        f = [*f, "p=" + before + "|" + s, "n=" + s + "|" + after]
+        if i and own[i - 1][1]:
+            f.append("c1=" + own[i - 1][1])
+        if i > 1 and own[i - 2][1]:
+            f.append("c2=" + own[i - 2][1])
         out.append(f)
     return out
 
@@ -140,6 +152,8 @@ def labelled_table(seed: int = 11, rows: int = 900) -> list[tuple[list[str], lis
     checked = lambda x: next(x + c for c in "0123456789" if luhn(x + c))
     failing = lambda n: next(x for x in (d(n) for _ in range(99)) if not luhn(x))
     letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéäñ") for _ in range(n))
+    cased = lambda: letters(rnd.randint(3, 9)).capitalize()
+    title = lambda: rnd.choice(["Mr", "Mr.", "Mrs", "Mrs.", "Ms.", "Dr.", "Herr", "Frau", "Señor", "Señora", "Madame", "Monsieur"])
     # Forms; {…} is a place that a maker fills, a list of words of one kind.
     found = [
         ("phone", lambda: [f"({d(3)})", f"{d(3)}-{d(4)}"]),
@@ -155,6 +169,8 @@ def labelled_table(seed: int = 11, rows: int = 900) -> list[tuple[list[str], lis
         ("email", lambda: [f"{letters(4)}.{letters(5)}@{letters(6)}.com"]),
         ("ip", lambda: [f"{d(3)}.{d(2)}.{d(2)}.{d(3)}"]),
         ("card", lambda: [checked(d(rnd.choice([12, 14, 15, 15, 15, 18])))]),
+        ("name", lambda: [title(), *[cased() for _ in range(rnd.randint(1, 2))]]),
+        ("name", lambda: [title(), cased(), f"{letters(1).upper()}.", cased()]),
     ]
     plain = [
         lambda: [d(rnd.randint(1, 3))], lambda: [d(4)], lambda: [f"{d(2)}%"], lambda: [f"{d(1)}.{d(1)}"], lambda: [f"{d(1)}.{d(1)}.{d(1)}"],
@@ -162,9 +178,10 @@ def labelled_table(seed: int = 11, rows: int = 900) -> list[tuple[list[str], lis
         lambda: [f"{d(2)}:{d(2)}"], lambda: [f"{letters(3)}{d(2)}"], lambda: ["version", f"{d(1)}.0"], lambda: ["CC", "BY-NC", "4.0"],
         lambda: [f"${d(3)}.{d(2)}"], lambda: [f"{d(1)},{d(3)},{d(3)}"], lambda: [f"{letters(4)}@"], lambda: [f"@{letters(6)}"], lambda: [d(rnd.randint(5, 12))],
         lambda: [f"AKIA{hexa(16).upper()}"], lambda: [f"{letters(5)}&&&"], lambda: [d(2), d(2), d(2)], lambda: [d(3), d(4)],
-        lambda: [failing(16)], lambda: [failing(rnd.randint(13, 19))], lambda: [failing(16), failing(16)],
+        lambda: [cased(), cased()], lambda: [cased()], lambda: [cased()] * rnd.randint(3, 9), lambda: [cased() for _ in range(rnd.randint(3, 9))], lambda: [d(rnd.randint(1, 4)), cased()], lambda: [rnd.choice(["name", "contact"])],
+        lambda: [title(), letters(5)], lambda: [d(2), letters(5), letters(4)], lambda: [failing(16)], lambda: [failing(rnd.randint(13, 19))], lambda: [failing(16), failing(16)],
     ]
-    cue = {"phone": ["tel", "phone", "call", "mobile"], "ident": ["ssn", "id", "passport"], "account": ["iban", "konto", "account"], "email": ["mail", "email"], "card": ["card", "karte"], "ip": ["from"]}
+    cue = {"phone": ["tel", "phone", "call", "mobile"], "ident": ["ssn", "id", "passport"], "account": ["iban", "konto", "account"], "email": ["mail", "email"], "card": ["card", "karte"], "ip": ["from"], "name": ["name", "contact"]}
     out = []
     for _ in range(rows):
         words, labels = [], []
@@ -218,11 +235,14 @@ class Field:
         return out
 
     def decode(self, sequences: list[list[str]]) -> list[list[str]]:
-        """Viterbi, sequences of equal length together."""
+        return self.best(self.scores(sequences))
+
+    def best(self, scores: list[np.ndarray]) -> list[list[str]]:
+        """Viterbi over emission scores, sequences of equal length together."""
         by = defaultdict(list)
-        for k, e in enumerate(self.scores(sequences)):
+        for k, e in enumerate(scores):
             by[len(e)].append((k, e))
-        out: list[list[str]] = [[]] * len(sequences)
+        out: list[list[str]] = [[]] * len(scores)
         for n, group in by.items():
             e = np.stack([x for _, x in group])
             best, back = self.enter + e[:, 0], []
@@ -311,89 +331,135 @@ def default_field() -> Field:
     return train(labelled_table())
 
 
-_TRIGGER = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
-
-
-def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Ranges of the words of each sequence. Only the surroundings of digits and
-    @ are cut into words, so that long plain texts cost one search."""
-    out: list[list[tuple[int, int]]] = []
-    at, n = 0, len(text)
-    while m := _TRIGGER.search(text, at):
-        a = m.start()
-        while a and not text[a - 1].isspace():
-            a -= 1
-        before = []
-        p = a
-        floor = out[-1][-1][1] if out else 0
-        while p > floor and len(before) < AROUND:
-            q = p
-            while q > floor and text[q - 1].isspace():
-                q -= 1
-            r = q
-            while r > floor and not text[r - 1].isspace():
-                r -= 1
-            if r == q:
-                break
-            before.append((r, q))
-            p = r
-        words = before[::-1]
-        joined = bool(out) and (words[0][0] if words else a) <= floor + 1 and len(before) < AROUND
-        since = AROUND
-        for w in _WORD.finditer(text, a):
-            if since == 0 and not _TRIGGER.search(w[0]):
-                break
-            since = AROUND if _TRIGGER.search(w[0]) else since - 1
-            words.append((w.start(), w.end()))
-        if joined:
-            out[-1].extend(words)
-        else:
-            out.append(words)
-        at = words[-1][1]
-        if at >= n:
-            break
-    return out
-
-
-def added_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
+#: Different words that a reader remembers.
+HELD = 300_000
+
+
+class Reader:
+    """Cuts texts into sentences, scores their words, and says which sentences can
+    hold a span.
+
+    A run of labels other than "outside" starts with a beginning label. Against
+    outside words it gains at most: the margin of its first word's best beginning
+    label, what entering and leaving gain, and for each further word its best margin
+    plus the most that a step between two other labels gains. Where even the best
+    first word with all gains above 0 of its sentence stays below 0, the plain path
+    is the best one."""
+
+    def __init__(self, field: Field):
+        self.labels, o, k = field.labels, field.labels.index("O"), len(field.labels)
+        self.outside = o
+        self.other = [i for i in range(k) if i != o]
+        self.begin = [i for i, y in enumerate(field.labels) if y[0] == "B"]
+        move, enter = field.move, field.enter
+        self.step = float((move[np.ix_(self.other, self.other)] - move[o, o]).max())
+        into = max(float((move[o, self.begin] - move[o, o]).max()), float((enter[self.begin] - enter[o]).max()))
+        self.edge = into + max(0.0, float((move[self.other, o] - move[o, o]).max()))
+        self.rows = dict(zip(field.names, field.emit))
+        # other shapes share the first number, which no feature names
+        self.shapes = {s: i for i, s in enumerate(["", "<", ">", *sorted(n[2:] for n in field.names if n.startswith("s="))])}
+        self.cues = {c: i for i, c in enumerate(["", *CUES])}
+        zero = np.zeros(k)
+        pair = lambda kind: np.array([[self.rows.get(f"{kind}={a}|{b}", zero) if a and b else zero for b in self.shapes] for a in self.shapes])
+        self.before, self.after = pair("p"), pair("n")
+        self.cue1, self.cue2 = (np.array([self.rows.get(f"{n}={c}", zero) if c else zero for c in self.cues]) for n in ("c1", "c2"))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.word = np.zeros((HELD, len(self.labels)))
+        self.shape, self.cue = np.zeros(HELD, np.int32), np.zeros(HELD, np.int32)
+        self.last = np.zeros(HELD, bool)
+
+    def _add(self, word: str) -> int:
+        i = self.place[word] = len(self.place)
+        if i == len(self.word):
+            for name in ("word", "shape", "cue", "last"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        s, cue, f = own_features(word)
+        for x in f:
+            if (row := self.rows.get(x)) is not None:
+                self.word[i] += row
+        self.shape[i], self.cue[i] = self.shapes.get(s, 0), self.cues[cue]
+        self.last[i] = word[-1] in ".!?" and not cue  # ends a sentence
+        return i
+
+    def sequences(self, texts: list[list[str]]) -> list[tuple[int, int, int, np.ndarray | None]]:
+        """``(text, first word, end, scores)`` of all sentences of the words of texts;
+        no scores where a sentence can't hold a span."""
+        if len(self.place) > HELD:
+            self._forget()
+        get, add = self.place.get, self._add
+        ids = np.array([add(w) if (i := get(w)) is None else i for ws in texts for w in ws], np.int64)
+        if not len(ids):
+            return []
+        n = len(ids)
+        begins = np.zeros(n, bool)
+        lengths = np.array([len(ws) for ws in texts])
+        offset = np.cumsum(lengths) - lengths
+        begins[offset[lengths > 0]] = True
+        begins[1:] |= self.last[ids[:-1]]
+        ends = np.append(begins[1:], True)
+        shape, cue = self.shape[ids], self.cue[ids]
+        prior = np.where(begins, 1, np.roll(shape, 1))
+        after = np.where(ends, 2, np.roll(shape, -1))
+        one = np.where(begins, 0, np.roll(cue, 1))
+        two = np.where(begins | np.roll(begins, 1), 0, np.roll(cue, 2))
+        two[:1] = 0
+        scores = self.word[ids] + self.before[prior, shape] + self.after[shape, after]
+        for cues, rows in ((one, self.cue1), (two, self.cue2)):
+            at = np.flatnonzero(cues)
+            scores[at] += rows[cues[at]]
+        margin = scores - scores[:, [self.outside]]
+        starts = np.flatnonzero(begins)
+        first = np.maximum.reduceat(margin[:, self.begin].max(1), starts)
+        more = np.add.reduceat(np.maximum(margin[:, self.other].max(1) + self.step, 0), starts)
+        alive = first + more + self.edge > -1e-6
+        of = np.searchsorted(offset, starts, "right") - 1
+        rows = zip(of.tolist(), starts.tolist(), np.append(starts[1:], n).tolist(), alive.tolist())
+        return [(i, a - offset[i], b - offset[i], scores[a:b] if open_ else None) for i, a, b, open_ in rows]
+
+
+def added_spans(texts: list[str], field: Field, reader: Reader | None = None) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds in each text, base spans not yet considered."""
-    owner, ranges, words = [], [], []
-    for i, text in enumerate(texts):
-        for seq in sequences(text):
-            owner.append(i)
-            ranges.append(seq)
-            words.append([text[a:b] for a, b in seq])
+    open_ = [s for s in (reader or Reader(field)).sequences([t.split() for t in texts]) if s[3] is not None]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, seq, labels in zip(owner, ranges, field.decode(words)):
+    places: dict[int, list[tuple[int, int]]] = {}
+    for (i, first, _, _), labels in zip(open_, field.best([s[3] for s in open_])):
         t = 0
         while t < len(labels):
             if labels[t][0] != "B":
                 t += 1
                 continue
-            end = t + 1
-            while end < len(labels) and labels[end] == "I" + labels[t][1:]:
-                end += 1
-            a, b = seq[t][0], seq[end - 1][1]
+            u = t + 1
+            while u < len(labels) and labels[u] == "I" + labels[t][1:]:
+                u += 1
+            if i not in places:
+                places = {i: [m.span() for m in _WORD.finditer(texts[i])]}
+            a, b = places[i][first + t][0], places[i][first + u - 1][1]
             while b > a and texts[i][b - 1] in _TRIM:
                 b -= 1
             while a < b and texts[i][a] in _TRIM:
                 a += 1
             if a < b:
                 out[i].append((labels[t][2:], a, b))
-            t = end
+            t = u
     return out
 
 
-def spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
+def spans(texts: list[str], field: Field, reader: Reader | None = None) -> list[tuple[list, list]]:
     """``(base, all)`` of each text, both by kind, then start."""
     result = []
-    for text, more in zip(texts, added_spans(texts, field)):
+    for text, more in zip(texts, added_spans(texts, field, reader)):
         base = base_spans(text)
         held = sorted((a, b) for _, a, b in base)
+        ends = list(accumulate((b for _, b in held), max))  # the furthest end up to each
         new = []
         for s in more:
-            if not any(a < s[2] and s[1] < b for a, b in held):
+            k = bisect_left(held, (s[2],))  # those before k begin before the span's end
+            if not k or ends[k - 1] <= s[1]:
                 new.append(s)
         result.append((base, sorted(base + new, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return result
@@ -411,11 +477,12 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         field = shared.value
+        reader = Reader(field)
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 256):
-                for base, all_ in spans(texts[at : at + 256], field):
+                for base, all_ in spans(texts[at : at + 256], field, reader):
                     counts = [sum(k == kind for k, _, _ in base) for kind in KINDS[:4]]
                     rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), len(all_) - len(base)))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]

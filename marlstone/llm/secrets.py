@@ -1,15 +1,17 @@
 """Secret scans: candidates by patterns, false positives removed by a random forest.
 
 Patterns propose strings that look like keys, tokens or passwords. Each becomes a
-feature row: length, kinds of characters and transitions between them, entropy,
-how much of it dictionary words cover, how it lies in paths and addresses, and
-what the neighbouring words say. A random forest trained from labelled findings
-(the table below, or the caller's, of at most ``MAX_FINDINGS`` rows) keeps those
-that are secrets.
+feature row: length, kinds of characters and changes between them, how likely its
+neighbouring letters are and how much of it dictionary words cover, entropy, how it
+lies in paths and addresses, and what the neighbouring words say. The dictionary is
+the corpus's own (:func:`dictionary`): words that stand in at least one of
+``RARE`` documents, counted over all; letter pairs are counted in these words. A
+random forest trained from labelled findings (the table below, or the caller's, of
+at most ``MAX_FINDINGS`` rows) keeps those that are secrets.
 
 Defined cases: null and empty texts have no candidates; overlapping candidates
-of the two patterns count once, the longer first; repeated rows are judged
-alike; an empty table gives an empty one.
+of the patterns count once, the longer first, of equally long ones the earlier;
+repeated rows are judged alike; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, insort
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import reach_workers
 
@@ -35,18 +38,21 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _SET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|credential|key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,})")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 _DIGIT = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[a-z]{4,}")
 _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 
-# Words of the dictionary feature, and neighbouring words.
-WORDS = ("example", "sample", "test", "dummy", "placeholder", "changeme", "your", "here", "insert", "name", "user", "admin", "default", "value", "string",
-         "main", "java", "src", "lib", "index", "http", "https", "www", "html", "image", "data", "file", "path", "version", "release", "build", "config",
-         "license", "the", "and", "tion", "ing", "ment", "with", "that", "for", "page", "line", "item", "list", "type", "class", "function")
+#: A dictionary word stands in one of so many documents at least, so that there are at
+#: most ``RARE`` times as many words as the mean document has different ones.
+RARE = 1000
+WORD_LENGTHS = range(4, 13)
+
+# Neighbouring words.
 FOR = frozenset("token secret password passwd passphrase credential credentials key apikey api_key api access auth authorization bearer private aws github stripe slack login pwd".split())
 AGAINST = frozenset("commit sha sha1 sha256 md5 checksum hash digest revision uuid guid id isbn order invoice card example sample test dummy placeholder version etag build page image integrity".split())
 # Beginnings that issuers give their keys.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "sk_live_", "rk_live_", "sk-", "xoxb-", "xoxp-", "AIza", "glpat-", "eyJ", "npm_", "hf_")
 FEATURES = (
-    "length", "entropy", "digits", "upper", "lower", "other", "transitions", "longest_run", "distinct", "hex", "digits_only", "dictionary",
+    "length", "entropy", "digits", "upper", "lower", "other", "transitions", "longest_run", "distinct", "hex", "digits_only", "dictionary", "pairs",
     "longest_word", "slashes", "dots", "in_path", "uuid", "prefix", "assigned", "quoted", "for", "against", "vowels",
 )
 
@@ -63,16 +69,59 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
         # decorations around a value aren't part of it
         while b > a and text[b - 1] in "\"'`,;.!?&$#%*)]}":
             b -= 1
-        if b - a >= 8 and not any(c < b and a < d for c, d in out):
-            out.append((a, b))
-    return sorted(out)
+        at = bisect_left(out, (b,))  # those before it begin before the end; they don't overlap each other
+        if b - a >= 8 and (not at or out[at - 1][1] <= a):
+            insort(out, (a, b))
+    return out
+
+
+class Words:
+    """Dictionary words and the likelihood of neighbouring letters in them."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.known = frozenset(counts)
+        pairs = np.ones((26, 26))
+        for w, n in counts.items():
+            at = np.frombuffer(w.encode(), np.uint8).astype(int) - 97
+            np.add.at(pairs, (at[:-1], at[1:]), n)
+        self.pairs = np.log10(pairs / pairs.sum(1, keepdims=True))
+
+    def covered(self, low: str) -> tuple[float, int]:
+        """Share of the characters that dictionary words cover, and the longest one."""
+        end, held, longest = 0, 0, 0
+        for m in _LETTERS.finditer(low):
+            run = m[0]
+            for a in range(len(run)):
+                for n in reversed(WORD_LENGTHS):
+                    if a + n <= len(run) and run[a : a + n] in self.known:
+                        first = max(end, m.start() + a)
+                        held += max(0, m.start() + a + n - first)
+                        end, longest = max(end, m.start() + a + n), max(longest, n)
+                        break
+        return held / max(len(low), 1), longest
+
+    def likely(self, low: str) -> float:
+        """Mean log10 likelihood of the neighbouring letters; that of random ones where
+        there are none."""
+        at = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8).astype(int) - 97
+        both = (at[:-1] >= 0) & (at[:-1] < 26) & (at[1:] >= 0) & (at[1:] < 26)
+        return float(self.pairs[at[:-1][both], at[1:][both]].mean()) if both.any() else -math.log10(26)
+
+
+def dictionary(docs: DataFrame, rare: int = RARE) -> Words:
+    """From all documents; see ``RARE`` for how many words that can be."""
+    parts = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
+    wanted = F.length("word").between(WORD_LENGTHS[0], WORD_LENGTHS[-1])
+    counted = docs.select(F.explode(parts).alias("word")).where(wanted).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    least = max(2, -(-docs.count() // rare))
+    return Words({r.word: r.n for r in counted.where(F.col("n") >= least).collect()})
 
 
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3
 
 
-def features(text: str, a: int, b: int) -> list[float]:
+def features(text: str, a: int, b: int, words: Words) -> list[float]:
     s = text[a:b]
     n = len(s)
     kinds = [_kind(c) for c in s]
@@ -83,13 +132,7 @@ def features(text: str, a: int, b: int) -> list[float]:
         run = run + 1 if x == y else 1
         best = max(best, run)
     low = s.lower()
-    covered, longest = np.zeros(n, bool), 0
-    for w in WORDS:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = True
-            longest = max(longest, len(w))
-            at = low.find(w, at + 1)
+    covered, longest = words.covered(low)
     before, after = text[max(0, a - 60) : a], text[b : b + 40]
     near = [w.lower() for w in _NEAR.findall(before)[-3:]] + [w.lower() for w in _NEAR.findall(after)[:1]]
     parts = {p for w in near for p in (w, *w.split("_"))}
@@ -98,7 +141,7 @@ def features(text: str, a: int, b: int) -> list[float]:
     return [
         float(n), entropy, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n,
         sum(x != y for x, y in zip(kinds, kinds[1:])) / max(n - 1, 1), float(best), len(counts) / min(n, 64),
-        float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None), float(s.isdigit()), covered.mean(), float(longest),
+        float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None), float(s.isdigit()), covered, words.likely(low), float(longest),
         float(s.count("/")), float(s.count(".")), float(bool(re.search(r"(?:https?:|www\.|[/\\])\S*$", before)) or after[:1] in ("/", "\\")),
         float(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s) is not None),
         float(s.startswith(PREFIXES) or s.startswith("-----BEGIN")), float(tail[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'") and after[:1] in ("\"", "'")),
@@ -106,38 +149,49 @@ def features(text: str, a: int, b: int) -> list[float]:
     ]
 
 
-def labelled_findings(seed: int = 5, rows: int = 1600) -> list[tuple[str, int, int, int]]:
-    """``(text, start, end, secret)`` made by a fixed rule: forms with random
-    values between invented words."""
-    rnd = random.Random(seed)
+# What labelled findings are made of; the second of each pair is for held-out ones.
+SECRET_NAMES = (("api_key", "secret", "password", "access_key", "auth_token", "passphrase", "token", "SECRET_KEY", "private key"), ("client_secret", "apikey", "PASSWD", "credential", "bearer"))
+OTHER_NAMES = (("commit", "sha256", "checksum", "etag", "order", "id", "image", "revision", "version", "card"), ("digest", "md5", "isbn", "build", "invoice"))
+ASSIGNS = (("=", " = ", ": ", ":", " "), (" := ", " =", ":  "))
+PLACEHOLDERS = (("changeme", "placeholder", "example", "your_value_here", "xxxxxxxxxxxx"), ("insert-me-please", "dummy_dummy", "not-a-real-one"))
+
+
+def labelled_findings(words: Words, seed: int = 5, rows: int = 1600, held_out: bool = False) -> list[tuple[str, int, int, int]]:
+    """``(text, start, end, secret)``: names, assignments, quotes and values put
+    together by a rule. Held-out ones take other names, assignments and kinds of values."""
+    rnd, k = random.Random(seed), int(held_out)
     pick = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
     low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     hexa, b64 = digits + "abcdef", digits + low + low.upper()
-    word = lambda: pick(low, rnd.randint(2, 9))
-    long_hex = lambda: pick(hexa, rnd.choice([32, 40, 40, 64]))
-    # Forms of secrets and of look-alikes; | marks the finding.
+    known = sorted(words.known) or ["word", "other", "name", "thing"]
+    word = lambda: rnd.choice(known) if rnd.random() < 0.8 else pick(low, rnd.randint(2, 9))
+    phrase = lambda sep, n: sep.join(word() for _ in range(n))
     secret = [
-        lambda: f'token = "|{long_hex()}|"', lambda: f"api_key: |{pick(b64, rnd.randint(24, 44))}|", lambda: f"secret=|{pick(b64 + '+/', 40)}|",
-        lambda: f"aws |{'AKIA' + pick(low.upper() + digits, 16)}|", lambda: f"|ghp_{pick(b64, 36)}|", lambda: f"Authorization Bearer |eyJ{pick(b64 + '_-', 60)}|",
-        lambda: f'password = "|{pick(b64 + "!?_", rnd.randint(10, 20))}|"', lambda: f"|sk_live_{pick(b64, 24)}|", lambda: "key |-----BEGIN RSA PRIVATE KEY-----|",
-        lambda: f'TOKEN = "|{long_hex().upper()}|"', lambda: f"access key '|{pick(b64, 32)}|'", lambda: f"auth_token: '|{long_hex()}|'", lambda: f"|xoxb-{pick(digits, 11)}-{pick(b64, 24)}|",
+        lambda: pick(hexa, rnd.choice((32, 40, 64)[:: 1 - 2 * k])), lambda: pick(b64, rnd.randint(20, 48)), lambda: pick(b64 + "+/", 40) + "=" * rnd.randint(0, 2),
+        lambda: pick(b64 + "!?_", rnd.randint(10, 20)), lambda: rnd.choice(PREFIXES[k::2]) + pick(b64, rnd.randint(20, 36)),
+        lambda: pick(hexa.upper(), 32), lambda: "-".join(pick(b64, 8) for _ in range(4)) if k else pick(b64 + "-_", 43),
     ]
     other = [
-        lambda: f"commit |{pick(hexa, 40)}|", lambda: f"sha256 |{pick(hexa, 64)}|", lambda: f"md5: |{pick(hexa, 32)}|",
-        lambda: "id |" + "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)) + "|", lambda: f"|{pick(digits, rnd.choice([16, 16, 18]))}|", lambda: f"card |{pick(digits, 16)}|",
-        lambda: f"in |src/main/java/{word()}/{word()}{pick(digits, 2)}/index|", lambda: f"https://{word()}.com/|{word()}-{word()}-{word()}-{pick(digits, 4)}|",
-        lambda: f'token = "|your_token_here_{pick(digits, 2)}|"', lambda: f"password: |{rnd.choice(['changeme123', 'example_password1', 'placeholder-value', 'test_password_1'])}|",
-        lambda: f"|{word()}{word()}{word()}{pick(digits, 1)}{word()}|", lambda: f"key: |{word()}{word()}|", lambda: f"|{'x' * rnd.randint(12, 24)}{pick(digits, 4)}|",
-        lambda: f"|{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 6)}|", lambda: f"secret: |{word()}ing{word()}|", lambda: f"version |release_build_{pick(digits, 8)}|",
-        lambda: f"|{'=' * 12}{pick(digits, 2)}{'=' * 12}|", lambda: f"etag |{pick(hexa, 32)}|",
+        lambda: phrase(rnd.choice(("_", "-", "")), rnd.randint(2, 4)), lambda: phrase("-", 3) + "-" + pick(digits, rnd.randint(2, 6)), lambda: rnd.choice(PLACEHOLDERS[k]) + pick(digits, rnd.randint(0, 3)),
+        lambda: phrase("/", rnd.randint(3, 5)) + pick(digits, 2), lambda: f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 6)}", lambda: pick(digits, rnd.randint(12, 20)),
+        lambda: word() + pick(digits, 1) + word() + word(), lambda: pick("x*=-"[k : k + 2], 1) * rnd.randint(12, 24) + pick(digits, 3),
     ]
+    named_other = [lambda: pick(hexa, rnd.choice((32, 40, 64))), lambda: "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)), lambda: pick(digits, rnd.choice((13, 16, 18)))]
     out = []
     for _ in range(rows):
-        label = int(rnd.random() < 0.5)
-        form = rnd.choice(secret if label else other)()
-        head, value, tail = form.split("|")
-        before = " ".join([word() for _ in range(rnd.randint(0, 5))] + [head] if head or rnd.random() < 0.9 else [head])
-        text = before + value + tail + rnd.choice([" ", "", ". ", "### "]) + " ".join(word() for _ in range(rnd.randint(0, 5)))
+        label, kind = int(rnd.random() < 0.5), rnd.random()
+        if label:
+            name, value = rnd.choice(SECRET_NAMES[k]), rnd.choice(secret)()
+            if value.startswith(PREFIXES) and kind < 0.5:
+                name = ""
+        elif kind < 0.4:
+            name, value = rnd.choice(OTHER_NAMES[k]), rnd.choice(named_other)()
+        else:
+            name, value = rnd.choice((*SECRET_NAMES[k], "", "", "")), rnd.choice(other)()
+        quote = rnd.choice(("", '"', "'")) if name else ""
+        head = (name.upper() if rnd.random() < 0.2 else name) + (rnd.choice(ASSIGNS[k]) if name else "") + quote
+        before = " ".join([word() for _ in range(rnd.randint(0, 5))] + [head])
+        text = before + value + quote + rnd.choice((" ", ". ", "\n", ", ")) + " ".join(word() for _ in range(rnd.randint(0, 5)))
         out.append((text, len(before), len(before) + len(value), label))
     return out
 
@@ -173,7 +227,8 @@ def _best_cut(x: np.ndarray, y: np.ndarray, tried: np.ndarray):
         impurity = ones * (size - ones) / size + rest * (n - size - rest) / (n - size)
         i = int(np.argmin(np.where(ok, impurity, np.inf)))
         if impurity[i] < best[0]:
-            best = (impurity[i], int(f), float((v[i] + v[i + 1]) / 2))
+            middle = (v[i] + v[i + 1]) / 2
+            best = (impurity[i], int(f), float(middle if middle < v[i + 1] else v[i]))
     return best
 
 
@@ -199,41 +254,38 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 1) -> For
     return Forest(np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(share), np.array(roots))
 
 
-def train(findings: list[tuple[str, int, int, int]], trees: int = TREES) -> Forest:
+def train(findings: list[tuple[str, int, int, int]], words: Words, trees: int = TREES) -> Forest:
     """``findings``: at most ``MAX_FINDINGS`` of ``(text, start, end, secret)``."""
     if len(findings) > MAX_FINDINGS:
         raise ValueError(f"give at most {MAX_FINDINGS} labelled findings")
-    x = np.array([features(t, a, b) for t, a, b, _ in findings])
+    x = np.array([features(t, a, b, words) for t, a, b, _ in findings])
     return grow(x, np.array([y for *_, y in findings], float), trees)
 
 
-@lru_cache(maxsize=1)
-def default_forest() -> Forest:
-    return train(labelled_findings())
-
-
-def judge(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
+def judge(texts: list[str | None], forest: Forest, words: Words) -> list[list[tuple[int, int, float]]]:
     """``(start, end, score)`` of the candidates of each text."""
     found = [candidates(t) for t in texts]
-    rows = [features(t, a, b) for t, spans in zip(texts, found) for a, b in spans]
+    rows = [features(t, a, b, words) for t, spans in zip(texts, found) for a, b in spans]
     scores = iter(forest.score(np.array(rows)) if rows else ())
     return [[(a, b, float(next(scores))) for a, b in spans] for spans in found]
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_candidates, findings``; a finding: ``start, end, score,
     sha256`` of a kept candidate (the value itself isn't spread further)."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
+    words = dictionary(docs)
+    forest = train(labelled_findings(words) if findings is None else findings, words)
+    shared = docs.sparkSession.sparkContext.broadcast((forest, words))
     inner = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("sha256", pa.string())])
 
     def run(batches):
-        own = shared.value
+        forest, words = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n, kept = [], []
             for at in range(0, len(texts), 512):
                 part = texts[at : at + 512]
-                for text, spans in zip(part, judge(part, own)):
+                for text, spans in zip(part, judge(part, forest, words)):
                     n.append(len(spans))
                     kept.append([
                         {"start": a, "end": b, "score": s, "sha256": hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest()}

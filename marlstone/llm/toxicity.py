@@ -1,10 +1,12 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
-A logistic regression over the words of a text and their beginnings. For each
-labelled text that mentions an identity term a twin is made in which the terms
-are swapped for others of their group; training penalises the squared change of
-the logit between the two, so that a group's name by itself moves no score and
-neutral mentions stop being false positives.
+A logistic regression over the words of a text and their beginnings. Each labelled
+text gets counterfactual twins: where it mentions identity terms, these are swapped
+for others of their group; where it mentions none, a neutral mention of one is put
+in. Training penalises the squared change of the logit between a text and its
+twins, so that a group's name by itself, or a beginning that it shares with other
+words, moves no score and neutral mentions stop being false positives
+(:func:`mention_alarms` measures that).
 
 The classifier is fitted on at most about ``max_rows`` labelled rows (a hash
 threshold over all labelled rows, so that the choice doesn't depend on order);
@@ -15,12 +17,13 @@ Defined cases: null and empty texts have no words and get the score of the
 intercept; labels whose ``toxic`` or ``doc_id`` is null, or whose document is
 missing, are not used; repeated rows are scored alike; no usable labels give
 the score 0 everywhere; an empty table gives an empty one. Columns of the input
-pass through :func:`score`, which adds ``score__``.
+pass through :func:`score`, which adds one.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from ..session import reach_workers
-from .common import materialise
+from .common import materialise, unused
 
 THRESHOLD = 0.3
 MAX_ROWS = 12_000
@@ -83,6 +86,27 @@ def swaps(found: set[str], groups=IDENTITY, turn: int = 0) -> set[str] | None:
     return out if hit else None
 
 
+TERMS = tuple(t for g in IDENTITY for t in g)
+
+
+def mentions(text: str | None, turns: int = 2) -> list[str]:
+    """Identity terms to put into a text that has none, by a hash of the text."""
+    start = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+    return [TERMS[(start + turn * (len(TERMS) // 2 + 1)) % len(TERMS)] for turn in range(turns)]
+
+
+def twins(text: str | None, found: set[str], turns: int = 2) -> list[set[str]]:
+    """Word sets of the counterfactuals of a text with the words ``found``."""
+    if found.isdisjoint(TERMS):
+        return [found | {t} for t in mentions(text, turns)]
+    return [x for turn in range(turns) if (x := swaps(found, turn=turn))]
+
+
+def change(own, twin) -> tuple[list[int], list[int]]:
+    """Features that a twin has more, and fewer, than its text."""
+    return sorted(set(twin) - set(own)), sorted(set(own) - set(twin))
+
+
 @dataclass
 class Model:
     """``weights`` by feature; a text's logit adds those of its features, each once."""
@@ -122,38 +146,27 @@ class Model:
         return self.__dict__ | {"cache": {}}
 
 
-def select(pos: Counter, neg: Counter, n_pos: int, n_neg: int, keep: int = MAX_FEATURES) -> list[str]:
-    """Features by the z value of their smoothed log odds ratio."""
-    ranked = []
-    for f in pos.keys() | neg.keys():
-        a, b = pos[f] + 0.5, neg[f] + 0.5
-        c, d = n_pos - pos[f] + 0.5, n_neg - neg[f] + 0.5
-        z = abs(np.log(a / c) - np.log(b / d)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-        if z >= LEAST_Z:
-            ranked.append((-z, f))
-    return [f for _, f in sorted(ranked)[:keep]]
-
-
 def fit(
     rows: list[tuple[int, list[int]]],
-    twins: list[tuple[int, list[int]]],
+    changes: list[tuple[list[int], list[int]]],
     names: list[str],
     l1: float = 2e-4,
     balance: float = 1.0,
     steps: int = 400,
 ) -> Model:
-    """``rows``: (label, features); ``twins``: (row, features of its counterfactual).
+    """``rows``: (label, features); ``changes``: what a counterfactual has more and
+    fewer (:func:`change`).
 
     Proximal Adam on the mean log loss, plus ``balance`` times the mean squared
-    logit change over the twins, with an L1 penalty."""
+    logit change over the counterfactuals, with an L1 penalty."""
     if not rows or len({y for y, _ in rows}) < 2:
         return Model(-500.0 if not rows or rows[0][0] == 0 else 500.0, {})
     y = np.array([r[0] for r in rows], float)
     at = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
     col = np.array([c for _, f in rows for c in f], int)
-    pair = np.array([r for r, _ in twins], int)
-    twin_at = np.repeat(np.arange(len(twins)), [len(f) for _, f in twins])
-    twin_col = np.array([c for _, f in twins for c in f], int)
+    twin_at = np.repeat(np.arange(len(changes)), [len(a) + len(b) for a, b in changes])
+    twin_col = np.array([c for a, b in changes for c in (*a, *b)], int)
+    sign = np.array([s for a, b in changes for s in [1.0] * len(a) + [-1.0] * len(b)])
     n, k = len(rows), len(names)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -161,11 +174,9 @@ def fit(
         z = np.bincount(at, w[col], n) + b
         g = (1 / (1 + np.exp(-z)) - y) / n
         grad = np.bincount(col, g[at], k)
-        if len(twins):
-            change = (np.bincount(twin_at, w[twin_col], len(twins)) + b - z[pair]) * (2 * balance / len(twins))
-            grad += np.bincount(twin_col, change[twin_at], k)
-            back = np.bincount(pair, change, n)
-            grad -= np.bincount(col, back[at], k)
+        if len(changes):
+            moved = np.bincount(twin_at, w[twin_col] * sign, len(changes)) * (2 * balance / len(changes))
+            grad += np.bincount(twin_col, moved[twin_at] * sign, k)
         full = np.append(grad, g.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full * full
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -175,6 +186,19 @@ def fit(
     return Model(float(b), {f: float(x) for f, x in zip(names, w) if x})
 
 
+def mention_alarms(texts: list[str | None], model: Model, threshold: float | None = None) -> tuple[int, int]:
+    """Of texts that aren't flagged: how many mentions put into them, and how many
+    of those flag their text."""
+    limit, tried, flagged = THRESHOLD if threshold is None else threshold, 0, 0
+    for text in texts:
+        if model.score(text) >= limit:
+            continue
+        for term in TERMS:
+            tried += 1
+            flagged += model.score(f"{text or ''} {term}") >= limit
+    return tried, flagged
+
+
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """``text, toxic`` of at most about ``max_rows`` labelled documents, without
     those held out. The label table is cut to this bound, then broadcast."""
@@ -193,7 +217,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _frequencies(batches):
-    counts = {0: Counter(), 1: Counter()}
+    counts, rare = ({0: Counter(), 1: Counter()} for _ in range(2))
     rows = Counter()
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -201,10 +225,9 @@ def _frequencies(batches):
             rows[y] += 1
             found = words(text)
             counts[y].update({f for w in found for f in features(w)})
-            for turn in range(2):
-                if twin := swaps(found, turn=turn):  # so that terms named by twins only have counts
-                    counts[y].update({f for w in twin - found for f in features(w)})
-    names = list(counts[0].keys() | counts[1].keys())
+            for twin in twins(text, found):  # so that terms named by twins only have counts
+                rare[y].update({f for w in twin - found for f in features(w)})
+    names = list(counts[0].keys() | counts[1].keys() | rare[0].keys() | rare[1].keys())
     out = [names + [""], [counts[1][f] for f in names] + [rows[1]], [counts[0][f] for f in names] + [rows[0]]]
     for at in range(0, len(out[0]), 50_000):
         yield pa.RecordBatch.from_arrays(
@@ -228,34 +251,36 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, balance:
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     c, d = F.lit(counted.pos) - F.col("pos") + 0.5, F.lit(counted.neg) - F.col("neg") + 0.5
     z = F.abs(F.log(a / F.greatest(c, F.lit(0.5))) - F.log(b / F.greatest(d, F.lit(0.5)))) / F.sqrt(1 / a + 1 / b + 1 / F.greatest(c, F.lit(0.5)) + 1 / F.greatest(d, F.lit(0.5)))
-    terms = [t for g in IDENTITY for t in g]
     ranked = totals.where("feature <> ''").withColumn("z", z)
     top = ranked.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
-    names = sorted({r.feature for r in top.collect()} | {r.feature for r in ranked.where(F.col("feature").isin(terms)).collect()})
+    names = sorted({r.feature for r in top.collect()} | {r.feature for r in ranked.where(F.col("feature").isin(*TERMS)).collect()})
     place = {f: i for i, f in enumerate(names)}
 
     def index(batches):
         seen = Model(0.0, dict.fromkeys(names, 1.0))
         for batch in batches:
-            y, own, twins = [], [], []
+            y, own, more, less = [], [], [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words(text)
+                had = seen.hits(found)
                 y.append(int(label == 1))
-                own.append(sorted(place[f] for f in seen.hits(found)))
-                made = [swaps(found, turn=turn) for turn in range(2)]
-                twins.append([sorted(place[f] for f in seen.hits(x)) for x in made if x])
-            kinds = pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((y, own, twins), kinds)], ["y", "own", "twins"])
-
-    got = sample.mapInArrow(index, "y int, own array<int>, twins array<array<int>>").collect()
-    got.sort(key=lambda r: (r.y, r.own, r.twins))  # the same sum whatever the order of tasks
+                own.append(sorted(place[f] for f in had))
+                changes = [change(had, (had if found <= x else set()) | seen.hits(x - found if found <= x else x)) for x in twins(text, found)]
+                more.append([[place[f] for f in a] for a, _ in changes])
+                less.append([[place[f] for f in b] for _, b in changes])
+            kinds = pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.list_(pa.int32()))] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((y, own, more, less), kinds)], ["y", "own", "more", "less"])
+
+    got = sample.mapInArrow(index, "y int, own array<int>, more array<array<int>>, less array<array<int>>").collect()
+    got.sort(key=lambda r: (r.y, r.own, r.more, r.less))  # the same sum whatever the order of tasks
     rows = [(r.y, r.own) for r in got]
-    twins = [(i, t) for i, r in enumerate(got) for t in r.twins]
-    return fit(rows, twins, names, balance=balance)
+    return fit(rows, [x for r in got for x in zip(r.more, r.less)], names, balance=balance)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score__`` (0 to 1)."""
+def score(docs: DataFrame, model: Model, into: str = "score__") -> DataFrame:
+    """``docs`` with a column ``into`` (0 to 1); an input that has it raises."""
+    if into in docs.columns:
+        raise ValueError(f"the input has {into}")
     reach_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES and the identity terms
     at = docs.columns.index("text")
@@ -264,12 +289,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         for batch in batches:
             values = [own.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "score__"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, into])
 
-    schema = StructType([*docs.schema.fields]).add("score__", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(into, DoubleType())
     return docs.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows of a score of ``threshold`` or more."""
-    return score(docs, train(docs, labels)).where(F.col("score__") < threshold).drop("score__")
+    into = unused(docs, "score__")
+    return score(docs, train(docs, labels), into).where(F.col(into) < threshold).drop(into)
