@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, line_dedup, packing, toxicity
 from marlstone.llm import near_copies as near
-from marlstone.llm.common import materialise, table
+from marlstone.llm.common import materialise, table, unused
 from marlstone.llm.queries import tokenizer_file
 
 #: Models and packing can't be expressed in SQL; tests hold the stages against
@@ -25,8 +25,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, runs=True)
-    changed = F.col("n_removed__") > 0
+    added = unused(docs, "n_lines__"), unused(docs, "n_removed__")
+    out = line_dedup.dedup_lines(docs, runs=True, added=added)
+    changed = F.col(added[1]) > 0
     return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
