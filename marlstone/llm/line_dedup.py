@@ -28,12 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reach_workers
-from .common import materialise, row_key, unused
+from .common import join_hot, materialise, row_key, unused
 
 MIN_SITES = 8
 LONG_WORDS = 50
-#: Keys that hold this fraction of all rows are joined by broadcast.
-HOT = 4096
 #: Relative distance from the threshold within which sites are counted exactly.
 NEAR = 0.35
 LG_K = 12
@@ -81,17 +79,6 @@ def line_table(found: DataFrame) -> DataFrame:
     )
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """``rows`` joined with ``keyed``, whose column ``n`` says in how many rows each
-    key stands. Keys that hold ``1/HOT`` of all rows or more are at most ``HOT``,
-    whatever the input, and are broadcast, so that none of them lands in one task."""
-    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    often = F.col(n) * HOT >= total
-    hot, rest = keyed.where(often).drop(n), keyed.where(~often).drop(n)
-    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
-
-
 def spread(found: DataFrame, counted: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Lines on ``min_sites`` sites or more: ``line, n, first`` (the occurrence
     that stays)."""

@@ -6,13 +6,14 @@ differ in about ten of 64 bits, too many for those signatures, so that most link
 are found by another method, which completes the first: each distinct shingle set
 has ``BANDS`` band keys of ``ROWS`` minhashes; sets that share a key are candidates
 and every candidate pair is verified. At similarity 0.8 a pair shares no key with
-probability 5e-8. Equal sets take part once. Buckets up to a limit are paired
-whole. In larger ones all members are verified against one of them, components are
-found over all buckets, and buckets that still hold more than one component come
-again with another such member and twice the limit; pairs inside a component
-aren't verified. So each bucket ends either in one component or with all its pairs
-between components verified, and the pairs of a large group of copies stay linear
-in its size.
+probability 5e-8. Equal sets take part once. Buckets up to ``BUCKET`` are paired by
+a join. Larger ones are dealt into chunks; a task compares all sets of a chunk by
+one product of matrices and gives a link for each set at most. Then components are
+found over all buckets. Where a bucket of several chunks still holds more than one
+component, the members outside its largest one are compared with all its members,
+chunk by chunk; the others are linked already. So each bucket ends either in one
+component or with all its pairs between components verified, and the rows of a
+large group of copies stay linear in its size.
 
 Defined cases: null, empty and blank texts have no words and are copies of each
 other; texts of fewer words than a shingle are one shingle; rows with a null
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import reach_workers
 from . import simhash
-from .common import LOWER, UPPER, materialise, row_key
+from .common import LOWER, UPPER, join_hot, materialise, row_key
 from .components import components
 
 SIZE = 5
@@ -38,6 +39,8 @@ SIMILAR = 0.8
 BANDS = 32
 ROWS = 4
 BUCKET = 32
+#: Sets and shingles that one task compares at once, and columns of a matrix.
+CHUNK, SHINGLES, COLUMNS = 256, 1 << 21, 4096
 #: Bits in which the signatures' candidates may differ.
 BITS = 3
 SEED = 42
@@ -136,15 +139,87 @@ def _placed(rest: DataFrame, edges: DataFrame) -> DataFrame:
     return materialise(joined.select("band", "id", "n", F.coalesce("component", "id").alias("comp")))
 
 
-def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float = SIMILAR, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
-    """``first(id, doc_key, n, bands, fp)``, ids distinct -> similar pairs ``u, v``."""
+def overlaps(flat: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements the sets ``left`` share with the sets ``right``, each with
+    others than itself; ``owner`` says whose each element is. Products of zeros and ones, columns in blocks."""
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    many = n[at] > 1
+    _, at = np.unique(at[many], return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, whose = at[order], owner[many][order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    sets = int(owner.max()) + 1 if len(owner) else 0
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        i, j = np.searchsorted(at, [first, first + COLUMNS])
+        block = np.zeros((sets, COLUMNS), np.float32)
+        block[whose[i:j], at[i:j] - first] = 1
+        out += block[left] @ block[right].T
+    return out
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements, their rows and the sizes of the column ``set``."""
+    column = rows.column("set").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.values.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def _similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, similar: float) -> np.ndarray:
+    return both + EPS >= similar * (a[:, None] + b[None, :] - both)
+
+
+_PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _joined(similar: float):
+    """Each set of a chunk with the first one of its component there."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        flat, owner, sizes = _flat(rows)
+        every = np.arange(len(ids))
+        near = _similar(overlaps(flat, owner, every, every), sizes, sizes, similar) | np.eye(len(ids), dtype=bool)
+        label = every
+        while True:
+            least = np.where(near, label[None, :], len(ids)).min(1)
+            if (least == label).all():
+                break
+            label = least
+        far = label != every
+        return pa.table([ids[far], ids[label[far]]], schema=_PAIR)
+
+    return run
+
+
+def _compared(similar: float):
+    """Members outside a bucket's largest component with those of one chunk."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, comps, minor = rows.column("id").to_numpy(), rows.column("comp").to_numpy(), rows.column("minor").to_numpy(zero_copy_only=False)
+        flat, owner, sizes = _flat(rows)
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        near = _similar(overlaps(flat, owner, left, right), sizes[left], sizes[right], similar)
+        u, v = [], []
+        for k, i in enumerate(left):
+            # one link to each component that is near
+            _, first = np.unique(comps[right[near[k]]], return_index=True)
+            v += ids[right[near[k]][first]].tolist()
+            u += [ids[i]] * len(first)
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_PAIR)
+
+    return run
+
+
+def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float = SIMILAR, bucket: int = BUCKET, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
+    """``first(id, doc_key, n, bands, fp)``, ids distinct -> pairs ``u, v`` whose
+    components are those of all similar pairs."""
 
     def fits(x, y):
         return F.least(x, y) + EPS >= similar * F.greatest(x, y)
 
     index = first.select("id", "n", F.explode("bands").alias("band"))
     often = index.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rest = materialise(index.join(often.select("band"), "band"))
+    rest = materialise(join_hot(index, often, "band", "c"))
     # by signature: equal fingerprints through the smallest id, then the links between fingerprints
     worded = first.where("n > 0").select("id", "n", "fp")
     least = materialise(worded.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("rep")).select("fp", "rep.id", "rep.n"))
@@ -153,28 +228,42 @@ def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float =
     signed = materialise(signed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     wanted = rest.select("id").union(signed.select("u")).union(signed.select("v")).distinct()
     sets = materialise(_sets(docs, first.select("id", "doc_key").join(wanted, "id"), size))
-    edges, turn = materialise(verified(signed, sets, similar)), 0
-    rest = _placed(rest, edges)
-
-    while True:
-        some = F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "n", "comp")
-        groups = rest.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(some).alias("low"))
-        here = materialise(rest.join(groups.where("lo < hi").select("band", "c", "low"), "band"))
-        light, heavy = here.where(F.col("c") <= bucket), here.where(F.col("c") > bucket)
-        a, b = light.alias("a"), light.alias("b")
-        apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & fits(F.col("a.n"), F.col("b.n"))
-        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        stars = heavy.where((F.col("comp") != F.col("low.comp")) & fits(F.col("n"), F.col("low.n"))).select(
-            F.least("id", "low.id").alias("u"), F.greatest("id", "low.id").alias("v")
-        )
-        edges = edges.union(materialise(verified(pairs.union(stars).distinct(), sets, similar)))
-        if heavy.isEmpty():
-            return edges
-        rest = _placed(heavy, edges)
-        bucket, turn = 2 * bucket, turn + 1
-
-
-def keep_first(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    edges = materialise(verified(signed, sets, similar))
+
+    here = materialise(_unsettled(_placed(rest, edges), chunk))
+    light, heavy = here.where(F.col("c") <= bucket), here.where(F.col("c") > bucket)
+    a, b = light.alias("a"), light.alias("b")
+    apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & fits(F.col("a.n"), F.col("b.n"))
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    paired = materialise(verified(pairs.distinct(), sets, similar))
+    dealt = heavy.select("band", F.pmod(F.xxhash64("id", "band"), F.col("chunks")).alias("chunk"), "id")
+    chunked = materialise(dealt.join(sets, "id").groupBy("band", "chunk").applyInArrow(_joined(similar), "u bigint, v bigint"))
+    edges = edges.union(paired).union(chunked)
+    split = heavy.where("chunks > 1")
+    if split.isEmpty():
+        return edges
+    left = materialise(_unsettled(_placed(split, edges), chunk))
+    most = left.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", F.col("m.comp").alias("major"))
+    sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
+    left = join_hot(left.drop("c"), most.join(sizes, "band"), "band", "c")
+    minors = left.where(F.col("comp") != F.col("major"))
+    groups = minors.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.greatest(F.count(F.lit(1)) / (chunk / 2), F.sum("n") / (SHINGLES / 2))).alias("groups"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    minors = join_hot(minors, groups, "band", "c").select("band", F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"), upto("chunks").alias("chunk"), "id", "comp", F.lit(True).alias("minor"))
+    members = join_hot(left, groups, "band", "c").select("band", upto("groups").alias("group"), F.pmod(F.xxhash64("id", "band"), F.col("chunks")).alias("chunk"), "id", "comp", F.lit(False).alias("minor"))
+    both = minors.unionByName(members).join(sets, "id")
+    return edges.union(materialise(both.groupBy("band", "group", "chunk").applyInArrow(_compared(similar), "u bigint, v bigint")))
+
+
+def _unsettled(rest: DataFrame, chunk: int) -> DataFrame:
+    """``band, id, n, comp, c, chunks`` of the buckets that hold several components;
+    a chunk has about ``chunk`` sets and ``SHINGLES`` shingles at most."""
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("n") / SHINGLES))
+    groups = rest.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), chunks.alias("chunks")).where("lo < hi")
+    return join_hot(rest, groups.select("band", "c", F.col("c").alias("c__"), "chunks"), "band", "c__")
+
+
+def keep_first(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
     """One document of each component of near copies: the smallest ``doc_id``,
     then row key. Rows with a null id stay."""
     named = docs.where("doc_id is not null")
@@ -185,7 +274,7 @@ def keep_first(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR, buck
             "id", "best", F.col("best.doc_key").alias("doc_key"), "n", "bands", "fp"
         )
     )
-    found = components(materialise(links(named, first.drop("best"), size, similar, bucket)))
+    found = components(materialise(links(named, first.drop("best"), size, similar, bucket, chunk=chunk)))
     stay = (
         first.join(found, first.id == found.node, "left")
         .groupBy(F.coalesce("component", "id").alias("c"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from marlstone.llm import near_copies
@@ -18,8 +19,8 @@ def _docs(spark, rows):
     return spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
 
 
-@pytest.mark.parametrize("bucket", [2, 32])
-def test_keep_first_against_all_pairs(spark, bucket):
+@pytest.mark.parametrize("bucket,chunk", [(2, 3), (2, 256), (32, 256)])
+def test_keep_first_against_all_pairs(spark, bucket, chunk):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
     texts = [None, "", " ", "one", "One", "two words", "a b c d e", "A b c d e"]
@@ -38,11 +39,19 @@ def test_keep_first_against_all_pairs(spark, bucket):
         for a, b in near:
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert sum(sets[a] != sets[b] for a, b in near) > 100
-    kept = near_copies.keep_first(_docs(spark, docs), bucket=bucket)
+    kept = near_copies.keep_first(_docs(spark, docs), bucket=bucket, chunk=chunk)
     assert kept.columns == ["doc_id", "text", "id"]
     assert {r.doc_id for r in kept.collect()} == set(comp.values())
 
 
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in (0, 5, 40, 40, 9, 1)]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(6), [len(x) for x in sets])
+    got = near_copies.overlaps(flat, owner, np.array([1, 2, 5]), np.arange(6))
+    assert all(got[k, j] == len(np.intersect1d(sets[i], sets[j])) for k, i in enumerate((1, 2, 5)) for j in range(6) if i != j)
+
+
 def test_stage_links_near_copies_of_long_texts(spark):
     import corpus_pipeline
 
