@@ -12,7 +12,7 @@ import numpy as np
 #: A pre-token may span the space only where whitespace surrounds it.
 _SPANS = re.compile(r"\s (?:\s|\Z)")
 _SPACE = re.compile(r"\s")
-CACHE = 500_000
+CACHE = 250_000
 
 
 def _bytes_of_symbols() -> dict[str, int]:

@@ -43,7 +43,7 @@ MAX_FEATURES = 2_000
 STEMS = (4, 5, 6, 7, 8)
 #: Least z value of a feature's log odds ratio.
 LEAST_Z = 3.5
-CACHE = 400_000
+CACHE = 150_000
 
 # Identity terms by group; a term is swapped for others of its group.
 IDENTITY = (
