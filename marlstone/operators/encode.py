@@ -9,6 +9,10 @@ from ..functions import scalars
 from .ordering import global_row_number
 
 
+#: Rows of a prototype table, which is sent to all tasks.
+MOST_PROTOTYPES = 10_000
+
+
 def min_genes(coo: DataFrame, least: int, cell: str = "cell_id") -> DataFrame:
     """Cells with at least so many positive genes, with the number."""
     return coo.where("value > 0").groupBy(cell).agg(F.count(F.lit(1)).alias("genes")).where(F.col("genes") >= least)
@@ -98,10 +102,13 @@ def project(coo: DataFrame, weights: DataFrame, cell: str = "cell_id") -> DataFr
 
 def nearest(df: DataFrame, prototypes: DataFrame, r: int, tau: float = 1.0) -> DataFrame:
     """The ``r`` most similar prototypes of each row by cosine, weighted by a
-    softmax over them. ``df(id, vec)``; ``prototypes(k, proto)`` is a small table
-    of fixed size."""
+    softmax over them. ``df(id, vec)``; ``prototypes(k, proto)`` has at most
+    ``MOST_PROTOTYPES`` rows, more raise."""
     from ..functions.arrays import cosine
 
+    if prototypes.limit(MOST_PROTOTYPES + 1).count() > MOST_PROTOTYPES:
+        raise ValueError(f"more than {MOST_PROTOTYPES} prototypes")
+
     by = Window.partitionBy("id")
     scored = df.join(F.broadcast(prototypes)).withColumn("sim", cosine(F.col("vec"), F.col("proto")))
     top = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), "k")).cast("bigint")).where(F.col("rank") <= r)

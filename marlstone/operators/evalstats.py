@@ -73,9 +73,8 @@ def checkpoint_rollup(df: DataFrame, by: str, values: list[str]) -> DataFrame:
 def parameter_stats(df: DataFrame, name: str, values: str) -> DataFrame:
     """Norm, mean and deviation of arrays of parameters, and whether they are of
     the last layer (largest number in ``layers.N.``)."""
-    from pyspark.sql import Window
-
     layer = F.nullif(F.regexp_extract(name, r"layers\.(\d+)\.", 1), F.lit("")).cast("bigint")
     long = df.select(name, layer.alias("layer"), F.explode(values).alias("v"))
     out = long.groupBy(name, "layer").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    return out.withColumn("last_layer", F.col("layer") == F.max("layer").over(Window.partitionBy(F.lit(1))))
+    top = df.agg(F.max(layer).alias("top__"))  # one row
+    return out.crossJoin(F.broadcast(top)).withColumn("last_layer", F.col("layer") == F.col("top__")).drop("top__")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .ordering import global_row_number
 
 # Kinds of artifacts by file name, first match counts.
 ARTIFACTS = (
@@ -121,9 +122,14 @@ def parents(runs: DataFrame, weights: dict[str, float], group: str | None = None
     """For each run the earlier one of the best score: the weights of equal
     columns (empty and unknown never count), ``TAG_WEIGHT`` for each shared tag,
     ``later`` for each place in time; of equal scores the earliest.
-    ``runs(id, ord, …)``; candidates are all earlier runs, as many pairs as that
-    makes; a ``group`` that both must share bounds them."""
-    p = runs.select(*[F.col(c).alias("p_" + c) for c in runs.columns])
+    ``runs(id, ord, …)``. Without ``later`` the score depends on the compared columns
+    alone, so that the earliest run of each combination stands for all of them; with
+    it, candidates are all earlier runs. A ``group`` that both must share bounds them."""
+    seen = [c for c in (group, *weights, tags) if c]
+    first = runs
+    if not later:
+        first = runs.groupBy(*seen).agg(F.min(F.struct("ord", "id")).alias("f__")).select("f__.ord", "f__.id", *seen)
+    p = first.select(*[F.col(c).alias("p_" + c) for c in first.columns])
     cond = F.col("p_ord") < F.col("ord")
     if group:
         cond = cond & (F.col("p_" + group) == F.col(group))
@@ -175,8 +181,9 @@ def keyword_hits(docs: DataFrame, words: DataFrame, least: int, top: int) -> Dat
 
 def timeline(runs: DataFrame) -> DataFrame:
     """Place of each run: by start, those without one last, then name, then id."""
-    order = Window.orderBy(F.coalesce("started_at", F.lit("9999-12-31T23:59:59")), "name", "id")
-    return runs.withColumn("place", F.row_number().over(order).cast("bigint"))
+    start = F.coalesce("started_at", F.lit("9999-12-31T23:59:59"))
+    placed = global_row_number(runs, [start, F.col("name"), F.col("id")], F.substring(start, 1, 10), "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("bigint"))
 
 
 def stage(name: Column, size: Column, recipe: Column) -> Column:

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import UNIT, unit_key
 
 
+#: A bucket is sorted in one task.
+LEAST_BUCKETS, BUCKET_ROWS = 16, 1_000_000
+
+
 def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name: str = "row") -> DataFrame:
     """``df`` with whole numbers from 0 in the given order. ``order`` must be total."""
     dealt = df.withColumn("bucket__", bucket)
@@ -24,8 +28,11 @@ def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name:
     return dealt.withColumn("in__", within).join(starts, "bucket__").withColumn(name, F.col("start__") + F.col("in__")).drop("bucket__", "start__", "in__")
 
 
-def shuffled(df: DataFrame, seed: int, ids: list[str], buckets: int = 64, name: str = "row") -> DataFrame:
-    """Rows numbered in a seeded random order that any engine reproduces."""
+def shuffled(df: DataFrame, seed: int, ids: list[str], buckets: int | None = None, name: str = "row") -> DataFrame:
+    """Rows numbered in a seeded random order that any engine reproduces. The number
+    of buckets, which doesn't change the order, grows with the rows unless it is given."""
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
     keyed = df.withColumn("key__", unit_key(seed, *[F.col(c) for c in ids]))
     width = UNIT // buckets
     order = [F.col("key__"), *[F.col(c) for c in ids]]

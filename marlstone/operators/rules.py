@@ -11,7 +11,10 @@ from .metrics import window_size, with_streaks
 
 def features(df: DataFrame) -> DataFrame:
     """One row per run that has a loss. ``df``: raw rows ``run, line, step, loss,
-    clip, skip, head, other, lr, resumed``; where a step repeats the last row counts."""
+    clip, skip, head, other, lr, resumed``, and ``other2`` where there is a second
+    head beside the primary one; where a step repeats the last row counts."""
+    if "other2" not in df.columns:
+        df = df.withColumn("other2", F.lit(None).cast("double"))
     by = Window.partitionBy("run")
     last = F.row_number().over(Window.partitionBy("run", "step").orderBy(F.desc("line")))
     again = df.where("step is not null").groupBy("run").agg(
@@ -48,6 +51,8 @@ def features(df: DataFrame) -> DataFrame:
             ends("head", F.max_by).alias("head_last"),
             ends("other", F.min_by).alias("other_first"),
             ends("other", F.max_by).alias("other_last"),
+            ends("other2", F.min_by).alias("other2_first"),
+            ends("other2", F.max_by).alias("other2_last"),
             ends("lr", F.max_by).alias("lr_last"),
             F.min("lr").alias("lr_min"),
         )
@@ -60,12 +65,14 @@ def events(feats: DataFrame) -> DataFrame:
     """``id, run, event, severity, start_step, end_step``."""
     c = F.col
     flat = (c("tail_max") - c("tail_min")) / F.greatest(F.abs("tail"), F.lit(1e-12))
+    # either of the other heads stays flat
+    flat_head = F.coalesce(c("other_last") >= 0.95 * c("other_first"), F.lit(False)) | F.coalesce(c("other2_last") >= 0.95 * c("other2_first"), F.lit(False))
     rules = [
         ("converged", "info", (c("early") > 0) & (c("tail") < 0.30 * c("early")) & (flat <= 0.50)),
         ("bad_plateau", "warning", (c("n") >= 3) & (c("best_step") < c("end_step")) & (c("tail") > 2 * c("best")) & (c("final") > 2 * c("best"))),
         ("clip_storm", "warning", (c("clip_max") > 0.50) & (c("final") > c("first"))),
         ("skip_loop", "warning", (c("skip_max") > 0.30) | (c("skip_streak") > 50)),
-        ("primary_head_failure", "warning", (c("heads") >= 2) & (c("head_last") <= 0.5 * c("head_first")) & (c("other_last") >= 0.95 * c("other_first"))),
+        ("primary_head_failure", "warning", (c("heads") >= 2) & (c("head_last") <= 0.5 * c("head_first")) & flat_head),
         ("lr_floor_freeze", "warning", (c("lr_last") <= c("lr_min") * (1 + 1e-9)) & (c("final") >= 1.02 * c("best"))),
         ("resume_boundary", "info", (c("duplicates") > 0) | c("resumed")),
     ]

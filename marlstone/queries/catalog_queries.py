@@ -187,13 +187,13 @@ def run_tags(spark, sf_dir):
 
 @register(
     "keyword_evidence",
-    """WITH w AS (SELECT DISTINCT item_id % 5 AS topic, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_.\\-]+')) AS keyword FROM benchmark WHERE item_id < 20),
+    """WITH w AS (SELECT DISTINCT item_id % 5 AS topic, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_.\\-]+')) AS keyword FROM benchmark),
 k AS (SELECT topic, keyword FROM w WHERE length(keyword) >= 6), t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_.\\-]+')) AS keyword FROM documents),
 h AS (SELECT topic, doc_id, count(DISTINCT t.keyword) AS hits FROM t JOIN k ON t.keyword = k.keyword GROUP BY topic, doc_id HAVING count(DISTINCT t.keyword) >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY hits DESC, doc_id) AS rank FROM h) SELECT topic, doc_id, hits, CAST(rank AS INT) AS rank FROM r WHERE rank <= 12""",
 )
 def keyword_evidence(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where("item_id < 20")
+    items = table(spark, sf_dir, "benchmark")
     words = items.select((F.col("item_id") % 5).alias("topic"), F.explode(scalars.keywords(F.col("text"), least=6)).alias("keyword")).distinct()
     return lineage.keyword_hits(table(spark, sf_dir, "documents"), words, 2, 12)
 
@@ -390,12 +390,12 @@ def presence_masks(spark, sf_dir):
 @register(
     "weighted_parents",
     f"""WITH {_PARSED}, w AS (SELECT id, name, size, recipe, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'lr5em4,resume' ELSE 'clip0p5' END AS tags,
-  CASE WHEN size = '500m' OR name LIKE '%clip0p5%' THEN 'a' WHEN name LIKE '%lr%' THEN 'b' WHEN size = '1b' THEN 'c' ELSE 'd' END AS lane FROM v WHERE id < 400),
+  CASE WHEN size = '500m' OR name LIKE '%clip0p5%' THEN 'a' WHEN name LIKE '%lr%' THEN 'b' WHEN size = '1b' THEN 'c' ELSE 'd' END AS lane FROM v),
 p AS (SELECT b.id AS parent, a.id AS child, round(0.01 * b.id + CASE WHEN a.lane = b.lane THEN 5 ELSE 0 END + CASE WHEN a.size = b.size THEN 4 ELSE 0 END + CASE WHEN a.recipe = b.recipe THEN 4 ELSE 0 END + 2
   + CASE WHEN a.id % 4 = 1 AND b.id % 4 = 1 THEN 2 + 2.4 WHEN a.tags = 'clip0p5' AND b.tags = 'clip0p5' THEN 1.2 ELSE 0 END, 6) AS score FROM w a JOIN w b ON b.id < a.id)
 SELECT parent, child, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY score DESC, parent) AS k FROM p) WHERE k = 1""",
 )
 def weighted_parents(spark, sf_dir):
-    runs = lineage.variables(lineage.parse_names(_names(spark, sf_dir).where("id < 400"))).withColumn("ord", F.col("id"))
+    runs = lineage.variables(lineage.parse_names(_names(spark, sf_dir))).withColumn("ord", F.col("id"))
     keep = runs.select("id", "ord", "tags", *lineage.PARENT_WEIGHTS)
     return lineage.parents(keep, lineage.PARENT_WEIGHTS, tags="tags", later=lineage.LATER_WEIGHT)

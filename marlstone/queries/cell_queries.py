@@ -275,13 +275,13 @@ def collapse_duplicate_columns(spark, sf_dir):
 
 @register(
     "zero_fill_columns",
-    f"""WITH {ELEMENTS}, h AS (SELECT id, pos * 2 AS pos, v FROM e WHERE v > 0 AND pos < 20),
-a AS (SELECT DISTINCT id FROM h), g AS (SELECT id, unnest(range(40)) AS pos FROM a)
+    f"""WITH {ELEMENTS}, h AS (SELECT id, pos * 2 AS pos, v FROM e WHERE v > 0),
+a AS (SELECT DISTINCT id FROM h), g AS (SELECT id, unnest(range(128)) AS pos FROM a)
 SELECT g.id AS id, CAST(count(*) AS INT) AS width, round(sum(coalesce(v, 0) * (g.pos + 1)), 6) AS checksum FROM g LEFT JOIN h ON g.id = h.id AND g.pos = h.pos GROUP BY g.id""",
 )
 def zero_fill_columns(spark, sf_dir):
-    coo = elements(spark, sf_dir).where("v > 0 and pos < 20").select("id", (F.col("pos") * 2).alias("pos"), F.col("v").alias("value"))
-    dense = encode.dense(coo, 40, "id")
+    coo = elements(spark, sf_dir).where("v > 0").select("id", (F.col("pos") * 2).alias("pos"), F.col("v").alias("value"))
+    dense = encode.dense(coo, 128, "id")
     weighted = F.transform("x", lambda v, i: v * (i + 1))
     return rounded(dense.select("id", F.size("x").alias("width"), arrays.total(weighted).alias("checksum")))
 
@@ -379,13 +379,13 @@ def topk_similarity(spark, sf_dir):
 
 @register(
     "cell_reconcile",
-    """WITH l AS (SELECT doc_id, n_chars % 3 AS q FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT doc_id, quality AS q FROM labels)
+    """WITH l AS (SELECT doc_id, n_chars % 3 AS q FROM documents), r AS (SELECT doc_id, quality AS q FROM labels)
 SELECT count(CASE WHEN l.doc_id IS NOT NULL AND r.doc_id IS NOT NULL THEN 1 END) AS overlap, count(CASE WHEN r.doc_id IS NULL THEN 1 END) AS only_left,
   count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS only_right, round(count(CASE WHEN l.q = r.q THEN 1 END) / count(CASE WHEN l.doc_id IS NOT NULL AND r.doc_id IS NOT NULL THEN 1 END), 6) AS q_match
 FROM l FULL JOIN r ON l.doc_id = r.doc_id""",
 )
 def cell_reconcile(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") % 3).alias("q"))
+    a = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 3).alias("q"))
     b = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("q"))
     return rounded(quality.reconcile(a, b, ["doc_id"], ["q"]))
 

@@ -58,7 +58,7 @@ _ROWS = f"s AS (SELECT event_id, row_number() OVER (ORDER BY {hash_sql(chr(39) +
 
 
 def _shuffled(spark, sf_dir):
-    return ordering.shuffled(table(spark, sf_dir, "events").select("event_id"), 42, ["event_id"], 16)
+    return ordering.shuffled(table(spark, sf_dir, "events").select("event_id"), 42, ["event_id"])
 
 
 @register(
@@ -187,12 +187,12 @@ def duplicate_keys(spark, sf_dir):
 
 @register(
     "set_operations",
-    """WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT doc_id FROM labels)
+    """WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
 SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'left', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'all', count(*) FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
 )
 def set_operations(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id").distinct()
+    a = table(spark, sf_dir, "documents").select("doc_id").distinct()
     b = table(spark, sf_dir, "labels").select("doc_id").distinct()
     parts = {"both": a.intersect(b), "left": a.exceptAll(b), "right": b.exceptAll(a), "all": a.unionByName(b)}
     out = None

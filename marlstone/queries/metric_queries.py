@@ -303,10 +303,10 @@ def lax_numbers(spark, sf_dir):
 @register(
     "pivot_series",
     f"""WITH {METRICS} SELECT step, arg_max(loss, CASE WHEN rank = 0 THEN line END) AS r0, arg_max(loss, CASE WHEN rank = 1 THEN line END) AS r1,
-  arg_max(loss, CASE WHEN rank = 2 THEN line END) AS r2 FROM m WHERE rank < 3 GROUP BY step""",
+  arg_max(loss, CASE WHEN rank = 2 THEN line END) AS r2, arg_max(loss, CASE WHEN rank = 3 THEN line END) AS r3 FROM m GROUP BY step""",
 )
 def pivot_series(spark, sf_dir):
     from ..operators.lineage import pivoted
 
-    m = log(spark, sf_dir).where("rank < 3").select("step", F.concat(F.lit("r"), F.col("rank").cast("string")).alias("series"), F.col("loss").alias("value"), "line")
-    return pivoted(m, ["r0", "r1", "r2"])
+    m = log(spark, sf_dir).select("step", F.concat(F.lit("r"), F.col("rank").cast("string")).alias("series"), F.col("loss").alias("value"), "line")
+    return pivoted(m, ["r0", "r1", "r2", "r3"])

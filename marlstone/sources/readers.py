@@ -54,15 +54,28 @@ def file_rows(df: DataFrame, most: int) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("row__")).where(F.col("row__") < most).drop("row__").withColumnRenamed("file__", "file")
 
 
+def _ordered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``value, file, line`` of text files. ``line`` sorts as the files' lines do: by
+    the number of a ``name.<number>-<rank>`` file, its name, the place of the block
+    in it, then the row. Spark's own row numbers don't: it deals out large files first."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"))
+    number = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("name", r"\.(\d{1,18})-\d+\.[^.]+$", 1), F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(-1).cast("bigint"))
+    place = F.struct(number.alias("number"), "file", "block", F.monotonically_increasing_id().alias("row"))
+    return lines.select("value", "file", place.alias("line"))
+
+
 def jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str, strict: bool = True) -> DataFrame:
-    """JSON rows. Strict: a malformed line raises; else it is left out. Blank
-    lines never count; ``file`` and ``line`` order is kept in ``line``."""
-    text = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("line")).where(F.trim("value") != "")
-    mode = "FAILFAST" if strict else "PERMISSIVE"
-    parsed = text.select("line", "value", F.from_json("value", schema, {"mode": mode}).alias("r"))
-    if not strict:
-        parsed = parsed.where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
-    return parsed.select("line", "r.*")
+    """JSON rows with ``line``, which sorts in file order over all files. Strict: a
+    malformed line raises with its file and text; else it is left out. Blank lines
+    never count."""
+    text = _ordered(spark, path).where(F.trim("value") != "")
+    fine = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    if strict:
+        said = F.concat("file", F.lit(": malformed line: "), F.substring("value", 1, 200))
+        text = text.withColumn("value", F.when(fine, F.col("value")).otherwise(F.raise_error(said)))
+    else:
+        text = text.where(fine)
+    return text.select("line", F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("r")).select("line", "r.*")
 
 
 def keyed_csv(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -79,8 +92,8 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     v = F.col("value")
     number = lambda p, i=1: F.nullif(F.regexp_extract(v, p, i), F.lit("")).cast("bigint")
     progress = r"\[e: *(\d+), *(\d+)/(\d+)\]"
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("line"),
+    return _ordered(spark, path).select(
+        "line",
         number(progress).alias("epoch"),
         number(progress, 2).alias("batch"),
         number(progress, 3).alias("batches"),
@@ -121,9 +134,9 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """``cell_id, pos, value`` (from 0) of a coordinate matrix in text form; read
     as lines, so that a large file is split over tasks."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    rows = _ordered(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     entries = rows.select((F.get(parts, F.lit(0)).cast("bigint") - 1).alias("cell_id"), (F.get(parts, F.lit(1)).cast("bigint") - 1).alias("pos"), F.get(parts, F.lit(2)).cast("double").alias("value"),
-                          F.monotonically_increasing_id().alias("line"))
+                          "line")
     head = entries.agg(F.min("line").alias("head"))  # the line with the sizes
     return entries.join(F.broadcast(head), F.col("line") > F.col("head")).select("cell_id", "pos", "value")
 

@@ -79,9 +79,9 @@ def test_controller_matches_plain_python(spark):
 
 
 def diagnosed(spark, series):
-    base = {"clip": 0.0, "skip": 0.0, "head": None, "other": None, "lr": None, "resumed": False}
-    data = [(1, i, *[({**base, **x})[k] for k in ("step", "loss", "clip", "skip", "head", "other", "lr", "resumed")]) for i, x in enumerate(series)]
-    df = spark.createDataFrame(data, "run int, line int, step bigint, loss double, clip double, skip double, head double, other double, lr double, resumed boolean")
+    base = {"clip": 0.0, "skip": 0.0, "head": None, "other": None, "lr": None, "resumed": False, "other2": None}
+    data = [(1, i, *[({**base, **x})[k] for k in ("step", "loss", "clip", "skip", "head", "other", "lr", "resumed", "other2")]) for i, x in enumerate(series)]
+    df = spark.createDataFrame(data, "run int, line int, step bigint, loss double, clip double, skip double, head double, other double, lr double, resumed boolean, other2 double")
     return {r.event for r in rules.events(rules.features(df)).collect()}
 
 
@@ -91,6 +91,8 @@ def test_rules(spark):
     assert {"clip_storm", "skip_loop"} <= diagnosed(spark, [{"step": s, "loss": 10.0 + s, "clip": 0.75, "skip": 0.35} for s in range(1, 8)])
     heads = [{"step": 1, "loss": 10.0, "head": 100.0, "other": 50.0, "lr": 1e-6}, {"step": 2, "loss": 12.0, "head": 18.0, "other": 53.0, "lr": 1e-7}]
     assert {"primary_head_failure", "lr_floor_freeze"} <= diagnosed(spark, heads)
+    two = [{"step": 1, "loss": 10.0, "head": 100.0, "other": 50.0, "other2": 1.0}, {"step": 2, "loss": 9.0, "head": 18.0, "other": 5.0, "other2": 1.0}]
+    assert "primary_head_failure" in diagnosed(spark, two) and "primary_head_failure" not in diagnosed(spark, [{**x, "other2": None} for x in two])
     assert "resume_boundary" in diagnosed(spark, [{"step": 1, "loss": 1.0}, {"step": 1, "loss": 2.0}])
     assert "resume_boundary" in diagnosed(spark, [{"step": 1, "loss": 1.0, "resumed": True}])
     assert diagnosed(spark, [{"step": 1, "loss": None}]) == set()
@@ -117,6 +119,15 @@ def test_runs_test_and_p(spark):
     assert got[2].z is None
 
 
+def test_one_sided_rows_and_prototypes(spark):
+    a = spark.createDataFrame([(i, i) for i in range(10) if i % 3], "k int, v int")
+    b = spark.createDataFrame([(i, 0) for i in range(12) if i % 2], "k int, v int")
+    assert tuple(quality.reconcile(a, b, ["k"], ["v"]).first()) == (3, 3, 3, 0.0)
+    protos = spark.range(encode.MOST_PROTOTYPES + 1).select(F.col("id").alias("k"), F.array(F.lit(1.0)).alias("proto"))
+    with pytest.raises(ValueError, match="prototypes"):
+        encode.nearest(spark.createDataFrame([(1, [1.0])], "id int, vec array<double>"), protos, 1)
+
+
 def test_reconcile(spark):
     a = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "k int, v int")
     b = spark.createDataFrame([(2, 6), (3, 7), (4, 1)], "k int, v int")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import controller
+from marlstone.operators import controller, metrics
 from marlstone.plans import catalog, training_rows
 from marlstone.sources import readers, writers
 from marlstone.streaming import ingest, replay
@@ -31,6 +31,19 @@ def test_jsonl(spark, tmp_path):
         readers.jsonl(spark, str(p), "step bigint, loss double").collect()
 
 
+def test_lines_of_several_files_keep_file_order(spark, tmp_path):
+    """The later file is the larger one, and file 10 follows file 2."""
+    put = lambda n, loss, rows: (tmp_path / f"metrics.{n}-0.jsonl").write_text("\n".join(json.dumps({"step": s + 1, "loss": loss}) for s in range(rows)))
+    put(0, 1.0, 3), put(2, 2.0, 3000), put(10, 3.0, 2)
+    rows = readers.jsonl(spark, str(tmp_path), "step bigint, loss double")
+    got = {r.step: r.loss for r in metrics.last_wins(rows, ["step"], ["line"]).where("step <= 3").collect()}
+    assert got == {1: 3.0, 2: 3.0, 3: 2.0}
+    assert [r.step for r in rows.orderBy("line").limit(5).collect()] == [1, 2, 3, 1, 2]
+    (tmp_path / "metrics.11-0.jsonl").write_text('{"step": 1}\n{"step": ')
+    with pytest.raises(Exception, match="metrics.11-0.jsonl: malformed line"):
+        readers.jsonl(spark, str(tmp_path), "step bigint, loss double").collect()
+
+
 def test_csv_logs_genes(spark, tmp_path):
     (tmp_path / "k.csv").write_text("path,n\na,1\na,2\n")
     with pytest.raises(ValueError, match="repeated path"):
