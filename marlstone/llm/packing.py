@@ -211,6 +211,7 @@ def _rebuilt(sizes: list[int], bin_of: np.ndarray, length: int) -> Bins:
 
 def _epoch(length: int, first: bool, slack: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bpe.cache_clear()  # a worker that has cut texts holds on to the vocabulary
         shard, island = int(pdf.shard.iloc[0]), int(pdf.island.iloc[0])
         pdf = pdf.sort_values(["origin", "uid"])
         groups = [g for _, g in pdf.groupby("origin", sort=True)]

@@ -290,6 +290,7 @@ def score(docs: DataFrame, model: Model, into: str = "score__") -> DataFrame:
         for batch in batches:
             values = [own.score(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, into])
+        own.cache.clear()  # the worker outlives its task
 
     schema = StructType([*docs.schema.fields]).add(into, DoubleType())
     return docs.mapInArrow(run, schema)
