@@ -66,3 +66,14 @@ def nonzero_pairs(genes: Column, x: Column) -> Column:
 
 def permuted(x: Column, order: Column) -> Column:
     return F.transform(order, lambda i: F.get(x, i.cast("int")))
+
+
+def column_order(have: list[str], want: list[str]) -> list[int]:
+    """For each wanted name its place among those at hand, for :func:`permuted`. Sets
+    that differ and repeated names raise: this is a pure reordering."""
+    at = {name: i for i, name in enumerate(have)}
+    if len(at) != len(have) or len(set(want)) != len(want):
+        raise ValueError("repeated names")
+    if at.keys() != set(want):
+        raise ValueError(f"names differ: {sorted(at.keys() ^ set(want))[:5]}")
+    return [at[name] for name in want]

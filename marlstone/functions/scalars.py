@@ -229,3 +229,17 @@ UNIT = 1 << 52
 
 def confidence(changes: Column, strong: Column) -> Column:
     return F.when((changes >= 2) & strong, F.lit("high")).when(changes >= 1, F.lit("medium")).otherwise(F.lit("low"))
+
+
+def run_settings(text: Column) -> dict[str, Column]:
+    """Settings that a run's name or tags spell out, as values; empty: not said."""
+    got = lambda p, i=1: F.regexp_extract(text, p, i)
+    two = lambda p, by: F.when(text.rlike(p), F.concat(got(p), F.lit(by), got(p, 2)))
+    return {
+        "lr": F.coalesce(two(r"lr(\d+)em(\d+)", "e-"), two(r"lr(\d+)e(\d+)", "e-"), F.lit("")),
+        "clip": F.coalesce(two(r"clip(\d+)p(\d+)", "."), F.lit("")),
+        "skip_ratio": got(r"skip(\d+)"),
+        "skip_max": got(r"skip\d+_(\d+)"),
+        "epochs": F.when(text.rlike(r"epochs?\d+"), got(r"epochs?(\d+)")).otherwise(got(r"(\d+)epoch")),
+        "lr_decay": F.when(text.rlike(r"lrdecay\d+"), F.concat(F.lit("lrdecay"), got(r"lrdecay(\d+)"))).otherwise(""),
+    }

@@ -102,6 +102,41 @@ def sampled_ranks(n: int, world: int, drop_last: bool) -> tuple[int, int]:
     return each, each * world
 
 
+def sampled_files(files: DataFrame, ranks: int, seed: int, epoch: int = 0, drop_last: bool = False, file: str = "file") -> DataFrame:
+    """``rank, place, file``: the same number of files for each rank, dealt by stride
+    from a seeded order. Missing ones are filled by repeating the order from its
+    start, or, with ``drop_last``, its end is cut. No files give no rows."""
+    n = files.count()
+    _, total = sampled_ranks(n, ranks, drop_last)
+    at = F.row_number().over(Window.orderBy(unit_key(seed + epoch, F.col(file)), file)) - 1
+    ordered = files.select(file, at.cast("bigint").alias("i__")).where(F.col("i__") < total)
+    last = F.lit(total - 1).cast("bigint")
+    dealt = ordered.select(file, F.explode(F.sequence("i__", last, F.lit(max(n, 1)).cast("bigint"))).alias("p__"))
+    return dealt.select(F.pmod("p__", F.lit(ranks)).cast("bigint").alias("rank"), F.floor(F.col("p__") / ranks).cast("bigint").alias("place"), file)
+
+
+def read_ranges(files: DataFrame, chunk_files: int, start: int, stop: int, order: str = "ord") -> DataFrame:
+    """``chunk, row_start, row_end, drop_head, keep_rows`` of the chunks of so many
+    files that meet the rows ``start <= row < stop``. ``files(ord from 0, n_rows)``;
+    the running sum sees one row per chunk."""
+    sizes = files.groupBy(F.floor(F.col(order) / chunk_files).cast("bigint").alias("chunk")).agg(F.sum("n_rows").alias("n"))
+    end = F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0))
+    spans = sizes.select("chunk", (end - F.col("n")).alias("row_start"), end.alias("row_end"))
+    lo, hi = F.greatest("row_start", F.lit(start)), F.least("row_end", F.lit(stop))
+    return spans.where(lo < hi).select("chunk", "row_start", "row_end", (lo - F.col("row_start")).alias("drop_head"), (hi - lo).alias("keep_rows"))
+
+
+def common_batches(rows: DataFrame, size: int, n: str = "n_rows") -> DataFrame:
+    """``batches``: how many every rank can make, so that none waits for another."""
+    return rows.agg(F.min(F.floor(F.col(n) / size)).cast("bigint").alias("batches"))
+
+
+def unseen(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Names of a skip list that never occur: what a merge warns of."""
+    expected = df.sparkSession.createDataFrame([(x,) for x in names], f"{column} string").distinct()
+    return expected.join(df.select(column), column, "left_anti")
+
+
 def batches(numbered: DataFrame, size: int, row: str = "row", offset: int = 0) -> DataFrame:
     """``batch`` of numbered rows; every batch but the last is full. Rows before
     ``offset`` are skipped (resume)."""
@@ -145,15 +180,21 @@ def evenly(files: DataFrame, count: int, order: str, n: int | None = None) -> Da
     return files.withColumn("i__", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("i__").isin(places)).drop("i__")
 
 
-def locate(wanted: DataFrame, sizes: DataFrame, index: str = "global_idx") -> DataFrame:
-    """File and local row of global row numbers, by running sums of file sizes.
-    Files are few beside rows; the range join's small side is one row per file."""
+def locate(wanted: DataFrame, sizes: DataFrame, index: str = "global_idx", block: int = 1 << 16) -> DataFrame:
+    """File and local row of global row numbers, by running sums of file sizes. Both
+    sides meet by blocks of ``block`` row numbers, so that the join is one of equality;
+    a file stands once for each block that it reaches into. Empty files hold no row."""
     end = F.sum("n_rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0))
-    spans = sizes.select("file", (end - F.col("n_rows")).alias("lo"), end.alias("hi"))
-    return wanted.join(spans, (F.col(index) >= F.col("lo")) & (F.col(index) < F.col("hi"))).select(*wanted.columns, "file", (F.col(index) - F.col("lo")).alias("local_row"))
+    spans = sizes.select("file", (end - F.col("n_rows")).alias("lo"), end.alias("hi")).where("hi > lo")
+    blocks = F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))
+    spans = spans.select("file", "lo", "hi", F.explode(blocks).alias("block__"))
+    dealt = wanted.withColumn("block__", F.floor(F.col(index) / block)).join(spans, "block__")
+    inside = (F.col(index) >= F.col("lo")) & (F.col(index) < F.col("hi"))
+    return dealt.where(inside).select(*wanted.columns, "file", (F.col(index) - F.col("lo")).alias("local_row"))
 
 
-def mixed_seed(seed: int, epoch: int, rank: int, chunk: int) -> int:
+def mixed_seed(seed, epoch, rank, chunk):
+    """Seed of a chunk's row shuffle, of numbers or columns."""
     return seed + epoch * 1_000_003 + rank * 10_007 + chunk * 101
 
 

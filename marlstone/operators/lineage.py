@@ -19,6 +19,9 @@ ARTIFACTS = (
     ("training_curve_png", r"\.png$"),
     ("checkpoint", r"\.pt$"),
 )
+# How run folders are named, and the files that show a training run.
+RUN_PREFIX, TEXT_SUFFIX = "training_output", "_text_split"
+EVIDENCE = r"^(summary\.md|run_record\.json|checkpoint\.md)$|^metrics\.(.*\.)?jsonl$|^loss_to_log.*\.txt$|^log\.(.*\.)?txt$|\.(?i:png|pt)$"
 # Names of report stages and of lanes, in the order of their rules.
 STAGES = (
     "500M stability incident and fixes",
@@ -87,6 +90,15 @@ def rank_files(files: DataFrame, rank: int = 0) -> DataFrame:
     return out.withColumn("ord", F.row_number().over(by.orderBy("n__", "name"))).select("run", "name", "ord")
 
 
+def candidates(entries: DataFrame, name: str = "name", file: str = "file") -> DataFrame:
+    """Run folders among listed files (one row per file, its folder's columns beside
+    it): named as outputs, not as text parts, with at least one file of evidence.
+    One row for each folder."""
+    named = F.col(name).startswith(RUN_PREFIX) & ~F.col(name).endswith(TEXT_SUFFIX)
+    kept = entries.where(named & F.col(file).rlike(EVIDENCE))
+    return kept.select(*[c for c in entries.columns if c != file]).distinct()
+
+
 def discovered(df: DataFrame) -> DataFrame:
     """Runs once per real path: the first root wins. ``root_order, name, real_path``."""
     w = Window.partitionBy("real_path").orderBy("root_order", "name")
@@ -230,8 +242,10 @@ def truncation(nested: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, batch: str, value: str, k: int) -> DataFrame:
     """``batch, unique_count, top``: the most frequent values of each batch."""
     counted = df.groupBy(batch, value).agg(F.count(F.lit(1)).alias("n"))
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(value).alias("id"), F.col("n").alias("count")))), 1, k)
-    return counted.groupBy(batch).agg(F.count(F.lit(1)).alias("unique_count"), top.alias("t")).select(
+    by = Window.partitionBy(batch)
+    ranked = counted.withColumn("k__", F.row_number().over(by.orderBy(F.desc("n"), value))).withColumn("u__", F.count(F.lit(1)).over(by)).where(F.col("k__") <= k)
+    top = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(value).alias("id"), F.col("n").alias("count"))))
+    return ranked.groupBy(batch).agg(F.max("u__").alias("unique_count"), top.alias("t")).select(
         batch, "unique_count", F.transform("t", lambda x: F.struct(x["id"].alias("id"), x["count"].alias("count"))).alias("top")
     )
 

@@ -137,12 +137,13 @@ def category_shares(df: DataFrame, column: str, categories: list[str]) -> DataFr
     )
 
 
-def window_drop(df: DataFrame, value: str, run: str = "run", step: str = "step") -> DataFrame:
-    """Mean of the first and of the last window of each run and the share lost."""
+def window_drop(df: DataFrame, value: str, run: str = "run", step: str = "step", size: int | None = None) -> DataFrame:
+    """Mean of the first and of the last window of each run and the share lost.
+    ``size``: values in a window, where it doesn't follow from the series."""
     has = df.where(F.col(value).isNotNull())
     by = Window.partitionBy(run)
     ranked = has.withColumn("n__", F.count(F.lit(1)).over(by)).withColumn("a__", F.row_number().over(by.orderBy(step)))
-    size = window_size(F.col("n__"))
+    size = window_size(F.col("n__")) if size is None else F.lit(size)
     out = ranked.groupBy(run).agg(
         F.max("n__").alias("n"),
         F.avg(F.when(F.col("a__") <= size, F.col(value))).alias("first_mean"),
@@ -189,3 +190,56 @@ def health(df: DataFrame, skip_share: float = 0.5, streak: int = 10, norm_limit:
     for name in trips:
         any_ = F.col(name) if any_ is None else any_ | F.col(name)
     return out.withColumn("unhealthy", any_)
+
+
+def extremes(df: DataFrame) -> DataFrame:
+    """Per run the extremes of its norms and thresholds, and the limits as first
+    stated. ``df``: raw rows ``run, line, raw, ema, clip_at, skip_at, skip_max, hard_limit``."""
+    stated = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c)
+    return df.groupBy("run").agg(
+        F.max("raw").alias("raw_max"),
+        F.max("ema").alias("ema_max"),
+        F.max("clip_at").alias("clip_at_max"),
+        F.min("skip_at").alias("skip_at_min"),
+        F.max("skip_at").alias("skip_at_max"),
+        stated("skip_max"),
+        stated("hard_limit"),
+    )
+
+
+def stability(df: DataFrame, skip_share: float = 0.5, streak: int = 50, worse: float = 1.5, span: int = 4000, window: int = 25, least_drop: float = 0.5, most_zero: float = 0.65) -> DataFrame:
+    """Six trip wires of a run in file order: too many norm skips, a long streak of
+    skips, a raw norm at the stated skip maximum or hard limit, a loss that ends far
+    above its start, and a primary task that doesn't learn: the first head loses less
+    than ``least_drop`` between its first and last ``window`` values or the zero head ends over
+    ``most_zero``, judged from ``span`` steps on.
+
+    ``df``: the rows of :func:`extremes` with ``step, loss, action, skipped, head,
+    zero``. Rows without a raw norm neither lengthen nor end a streak; a limit of zero
+    or below, or none, never trips; a head that never occurs isn't judged."""
+    skip = F.coalesce(F.col("skipped"), F.lit(False)) | F.coalesce(F.col("action").isin("skip_norm", "skip_nan"), F.lit(False))
+    longest = with_streaks(df.where("raw is not null"), skip, "s__", step="line").groupBy("run").agg(F.max("s__").alias("longest_streak"))
+    at = lambda f, c: f(c, F.when(F.col(c).isNotNull(), F.col("line")))
+    ends = df.groupBy("run").agg(
+        (F.count_if(F.col("action") == "skip_norm") / F.count(F.lit(1))).alias("skip_share"),
+        at(F.min_by, "loss").alias("first_loss"),
+        at(F.max_by, "loss").alias("last_loss"),
+        (at(F.max_by, "step") - at(F.min_by, "step") + 1).alias("span__"),
+    )
+    head = window_drop(df, "head", step="line", size=window).select("run", F.col("drop").alias("head_drop"))
+    zero = window_drop(df, "zero", step="line", size=window).select("run", F.col("last_mean").alias("zero_last"))
+    out = ends.join(extremes(df), "run")
+    for more in (longest, head, zero):
+        out = out.join(more, "run", "left")
+    over = lambda limit: (F.col(limit) > 0) & (F.col("raw_max") >= F.col(limit))
+    stuck = F.coalesce(F.col("head_drop") < least_drop, F.lit(False)) | F.coalesce(F.col("zero_last") > most_zero, F.lit(False))
+    trips = {
+        "too_many_skips": F.col("skip_share") > skip_share,
+        "long_streak": F.col("longest_streak") >= streak,
+        "over_skip_max": over("skip_max"),
+        "over_hard_limit": over("hard_limit"),
+        "worse_loss": F.col("last_loss") > worse * F.col("first_loss"),
+        "primary_stuck": (F.col("span__") >= span) & stuck,
+    }
+    out = out.withColumns({name: F.coalesce(cond, F.lit(False)) for name, cond in trips.items()}).drop("span__")
+    return out.withColumn("unhealthy", F.greatest(*trips))

@@ -47,3 +47,10 @@ def in_chunks(df: DataFrame, size: int, row: str = "row", keep_rest: bool = Fals
         return out
     n = df.count() if total is None else total
     return out.where(F.col(row) < n - n % size)
+
+
+def by_label(df: DataFrame, label: str, id_: str, name: str = "row") -> DataFrame:
+    """Rows numbered in the order of their label, then whole-numbered id. A bucket is
+    a range of ids within a label, so that a frequent label is many tasks."""
+    bucket = F.struct(F.col(label), F.floor(F.col(id_) / BUCKET_ROWS))
+    return global_row_number(df, [F.col(label), F.col(id_)], bucket, name)

@@ -156,3 +156,13 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], values: list[s
         pair = both & F.col(v + "_l").isNotNull() & F.col(v + "_r").isNotNull()
         aggs.append(F.try_divide(F.count_if(pair & (F.col(v + "_l") == F.col(v + "_r"))), F.count_if(pair)).alias(v + "_match"))
     return a.join(b, keys, "full_outer").agg(*aggs)
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two sides whose keys are unique; a repeated key on either raises.
+    Rows with a null key match nothing."""
+    for side, df in (("left", left), ("right", right)):
+        twice = df.dropna(subset=keys).groupBy(*keys).count().where("count > 1").limit(5).collect()
+        if twice:
+            raise ValueError(f"repeated keys on the {side}: {[tuple(r)[:-1] for r in twice]}")
+    return left.join(right, keys)

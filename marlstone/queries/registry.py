@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
 
 from . import metric_queries  # noqa: E402, F401
 from . import cell_queries  # noqa: E402, F401
-from . import catalog_queries, layout_queries  # noqa: E402, F401
+from . import catalog_queries, layout_queries, training_queries  # noqa: E402, F401

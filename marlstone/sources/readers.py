@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,6 +22,12 @@ def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*.par
     return out
 
 
+def inside(path: str, roots: list[str]) -> bool:
+    """Whether a local path, links followed, is one of the roots or lies in one."""
+    real = os.path.realpath(path)
+    return any(os.path.commonpath([real, r]) == r for r in map(os.path.realpath, roots))
+
+
 def require(df: DataFrame, columns: list[str], what: str = "input") -> DataFrame:
     """``df`` cut to the columns; missing ones raise with their names."""
     lost = [c for c in columns if c not in df.columns]
