@@ -63,12 +63,20 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, joined by shuffles on both sides. For joins with exploded rows: the
+    planner takes these for as small as the table that they come from, and would
+    send millions of them to the driver to broadcast them."""
+    return df.hint("shuffle_merge")
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
     """``rows`` joined with ``keyed``, whose column ``n`` says in how many rows each
     key stands. Keys that hold ``1/HOT`` of all rows or more are at most ``HOT``,
-    whatever the input, and are broadcast, so that none of them lands in one task."""
+    whatever the input, and are broadcast, so that none of them lands in one task; the
+    others, which may be any number, never are."""
     total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     often = F.col(n) * HOT >= total
     hot, rest = keyed.where(often).drop(n), keyed.where(~often).drop(n)
     left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(dealt(rest), key))

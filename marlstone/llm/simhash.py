@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reach_workers
-from .common import LOWER, UPPER, materialise, row_key
+from .common import LOWER, UPPER, dealt, materialise, row_key
 from .components import components
 
 BITS = 64
@@ -105,7 +105,7 @@ def links(prints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFra
         "fp", "rep", "v", F.col("fp").bitwiseAND(F.col("m")).alias("sig")
     )
     size = index.groupBy("v", "sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(index.join(size, ["v", "sig"]))
+    shared = materialise(index.join(dealt(size), ["v", "sig"]))
     light = shared.where(F.col("n") <= bucket)
     a, b = light.alias("a"), light.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
@@ -131,7 +131,7 @@ def links(prints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFra
         )
         least = keyed.groupBy("v", "o", "sig").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
         pairs = pairs.union(
-            keyed.join(least, ["v", "o", "sig"]).where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+            keyed.join(dealt(least), ["v", "o", "sig"]).where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
         )
     return pairs.distinct()
 
