@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import reach_workers
 from . import simhash
-from .common import LOWER, UPPER, join_hot, materialise, row_key
+from .common import LOWER, UPPER, dealt, join_hot, materialise, row_key
 from .components import components
 
 SIZE = 5
@@ -236,8 +236,8 @@ def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float =
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & fits(F.col("a.n"), F.col("b.n"))
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     paired = materialise(verified(pairs.distinct(), sets, similar))
-    dealt = heavy.select("band", F.pmod(F.xxhash64("id", "band"), F.col("chunks")).alias("chunk"), "id")
-    chunked = materialise(dealt.join(sets, "id").groupBy("band", "chunk").applyInArrow(_joined(similar), "u bigint, v bigint"))
+    parts = heavy.select("band", F.pmod(F.xxhash64("id", "band"), F.col("chunks")).alias("chunk"), "id")
+    chunked = materialise(parts.join(sets, "id").groupBy("band", "chunk").applyInArrow(_joined(similar), "u bigint, v bigint"))
     edges = edges.union(paired).union(chunked)
     split = heavy.where("chunks > 1")
     if split.isEmpty():
@@ -251,7 +251,7 @@ def links(docs: DataFrame, first: DataFrame, size: int = SIZE, similar: float =
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
     minors = join_hot(minors, groups, "band", "c").select("band", F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"), upto("chunks").alias("chunk"), "id", "comp", F.lit(True).alias("minor"))
     members = join_hot(left, groups, "band", "c").select("band", upto("groups").alias("group"), F.pmod(F.xxhash64("id", "band"), F.col("chunks")).alias("chunk"), "id", "comp", F.lit(False).alias("minor"))
-    both = minors.unionByName(members).join(sets, "id")
+    both = minors.unionByName(members).join(dealt(sets), "id")
     return edges.union(materialise(both.groupBy("band", "group", "chunk").applyInArrow(_compared(similar), "u bigint, v bigint")))
 
 

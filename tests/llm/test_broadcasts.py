@@ -28,3 +28,24 @@ def test_only_hot_keys_are_broadcast(spark):
     out = common.join_hot(rows, keyed, "k")
     assert joins(out) == (2, 1)
     assert out.count() == rows.count()
+
+
+def test_near_copies_broadcast_no_members_of_chunks(spark, monkeypatch):
+    from marlstone.llm import near_copies
+
+    seen = []
+
+    def recorded(df):
+        seen.append(df._jdf.queryExecution().sparkPlan().toString())
+        return common.materialise(df)
+
+    monkeypatch.setattr(near_copies, "materialise", recorded)
+    # one bucket of 40 sets, in pairs that share a band by their first shingles alone
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join([*words, *(f"x{i // 2}y{j}" for j in range(12 + i % 2))])) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert near_copies.keep_first(docs, bucket=2, chunk=4).count() > 0
+    grouped = [x for x in seen if "FlatMapGroupsInArrow" in x]
+    assert len(grouped) == 2
+    exploded = grouped[1]
+    assert exploded.index("SortMergeJoin") < exploded.index("Union")
