@@ -200,11 +200,23 @@ def size_bytes(c: Column) -> Column:
     return (F.nullif(number, F.lit("")).cast("double") * F.pow(F.lit(1024.0), power)).cast("bigint")
 
 
-def readable_bytes(c: Column) -> Column:
+def readable_bytes(c: Column, largest: str = "TiB") -> Column:
+    """Whole bytes in binary units up to ``largest``, with two decimals from 1 KiB on:
+    exact, ties to the even hundredth."""
+    c = c.cast("bigint")
+    units = ["KiB", "MiB", "GiB", "TiB"]
+    units = units[: units.index(largest) + 1]
     out = F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(c < 1024 ** (k + 1), F.format_string(f"%.2f {unit}", c / 1024.0**k))
-    return out.otherwise(F.format_string("%.2f TiB", c / 1024.0**4))
+    for k, unit in enumerate(units, 1):
+        size = 1024**k
+        over = (c % size) * 100
+        cents = F.floor(over / size)  # over is below 2**47, so that the quotient is exact
+        left = (over % size) * 2
+        up = (left > size) | ((left == size) & (cents % 2 == 1))
+        cents = F.floor((c - c % size) / size) * 100 + cents + up.cast("bigint")
+        text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        out = out.when(c < size * 1024, text) if unit != largest else out.otherwise(text)
+    return out
 
 
 def learning_rate(i: Column, peak: float, warm: int, total: int, floor: float) -> Column:

@@ -304,7 +304,7 @@ def size_texts(spark, sf_dir):
     b = F.col("page_id") * F.col("page_id") * 977
     k = scalars.size_bytes(F.concat(F.col("page_id").cast("string"), F.lit(" KB")))
     m = scalars.size_bytes(F.concat((F.col("page_id") * 1.5).cast("decimal(20,1)").cast("string"), F.lit("MiB")))
-    return table(spark, sf_dir, "pages").select("page_id", scalars.readable_bytes(b).alias("shown"), k.alias("kib"), m.alias("mib"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.readable_bytes(b, "MiB").alias("shown"), k.alias("kib"), m.alias("mib"))
 
 
 @register(
