@@ -137,17 +137,26 @@ def category_shares(df: DataFrame, column: str, categories: list[str]) -> DataFr
     )
 
 
-def window_drop(df: DataFrame, value: str, run: str = "run", step: str = "step", size: int | None = None) -> DataFrame:
+def window_drop(df: DataFrame, value: str, run: str = "run", step: str = "step", size: int | None = None, folded: bool = False) -> DataFrame:
     """Mean of the first and of the last window of each run and the share lost.
-    ``size``: values in a window, where it doesn't follow from the series."""
+    ``size``: values in a window, where it doesn't follow from the series. ``folded``:
+    a window is added up from its latest value back, whatever order rows come in, so
+    that means agree to the last bit."""
     has = df.where(F.col(value).isNotNull())
     by = Window.partitionBy(run)
     ranked = has.withColumn("n__", F.count(F.lit(1)).over(by)).withColumn("a__", F.row_number().over(by.orderBy(step)))
     size = window_size(F.col("n__")) if size is None else F.lit(size)
+
+    def mean(inside: Column) -> Column:
+        if not folded:
+            return F.avg(F.when(inside, F.col(value)))
+        rows = F.sort_array(F.collect_list(F.when(inside, F.struct("a__", F.col(value).cast("double").alias("v")))), asc=False)
+        return F.aggregate(rows, F.lit(0.0), lambda total, x: total + x["v"]) / F.nullif(F.size(rows), F.lit(0))
+
     out = ranked.groupBy(run).agg(
         F.max("n__").alias("n"),
-        F.avg(F.when(F.col("a__") <= size, F.col(value))).alias("first_mean"),
-        F.avg(F.when(F.col("a__") > F.col("n__") - size, F.col(value))).alias("last_mean"),
+        mean(F.col("a__") <= size).alias("first_mean"),
+        mean(F.col("a__") > F.col("n__") - size).alias("last_mean"),
     )
     return out.withColumn("drop", (F.col("first_mean") - F.col("last_mean")) / F.greatest(F.abs("first_mean"), F.lit(1e-12)))
 
@@ -226,8 +235,8 @@ def stability(df: DataFrame, skip_share: float = 0.5, streak: int = 50, worse: f
         at(F.max_by, "loss").alias("last_loss"),
         (at(F.max_by, "step") - at(F.min_by, "step") + 1).alias("span__"),
     )
-    head = window_drop(df, "head", step="line", size=window).select("run", F.col("drop").alias("head_drop"))
-    zero = window_drop(df, "zero", step="line", size=window).select("run", F.col("last_mean").alias("zero_last"))
+    head = window_drop(df, "head", step="line", size=window, folded=True).select("run", F.col("drop").alias("head_drop"))
+    zero = window_drop(df, "zero", step="line", size=window, folded=True).select("run", F.col("last_mean").alias("zero_last"))
     out = ends.join(extremes(df), "run")
     for more in (longest, head, zero):
         out = out.join(more, "run", "left")

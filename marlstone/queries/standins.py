@@ -15,6 +15,19 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_binary(df: DataFrame, places: int = 6) -> DataFrame:
+    """:func:`rounded` as DuckDB rounds: the double times the power of ten, ties away
+    from zero, where Spark rounds the shortest decimal that stands for the double."""
+
+    def near(c):
+        p = F.abs(c) * F.lit(10.0**places)
+        whole = F.floor(p).cast("double")
+        away = (whole + (p - whole >= 0.5).cast("double")) / F.lit(10.0**places)
+        return F.when(p < 2.0**52, F.when(F.col(c) < 0, -away).otherwise(away)).otherwise(F.col(c))
+
+    return df.select(*[near(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log row per event: the run is the user, the step a four-hour slot, so
     that steps repeat."""

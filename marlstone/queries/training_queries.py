@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, scalars
 from ..operators import layout, lineage, metrics, ordering, quality
 from .registry import register
-from .standins import CELLS, ELEMENTS, METRICS, cells, hash_sql, rounded, table
+from .standins import CELLS, ELEMENTS, METRICS, cells, hash_sql, rounded, rounded_binary, table
 from .standins import metrics as log
 
 _FILES = f"{CELLS}, n AS (SELECT file, count(*) AS n_rows FROM c GROUP BY file)"
@@ -148,4 +148,4 @@ SELECT run, round(share, 6) AS skip_share, round(f, 6) AS first_loss, round(t, 6
   c1 AS too_many_skips, c2 AS long_streak, c3 AS over_skip_max, c4 AS over_hard_limit, c5 AS worse_loss, c6 AS primary_stuck, c1 OR c2 OR c3 OR c4 OR c5 OR c6 AS unhealthy FROM w""",
 )
 def stability_verdict(spark, sf_dir):
-    return rounded(metrics.stability(_log(spark, sf_dir), 0.2, 2, span=50, window=4, least_drop=0.1))
+    return rounded_binary(metrics.stability(_log(spark, sf_dir), 0.2, 2, span=50, window=4, least_drop=0.1))

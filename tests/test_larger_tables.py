@@ -47,3 +47,15 @@ def test_recent_parents_by_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "p_ord" not in plan
+
+
+def test_stability_verdict_at_ties(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, i % 40, "2024-01-%02d 0%d:00:00" % (i // 40 + 1, i % 9), rng.choice(["click", "error", "view"]), rng.randint(1, 9999) / 100) for i in range(800)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, event_type string, value double")
+    events.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duckdb.sql("set timezone = 'UTC'")
+    duckdb.sql(f"create or replace temp view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = duckdb.sql(entry.oracle_sql()["stability_verdict"])
+    got = entry.queries()["stability_verdict"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
